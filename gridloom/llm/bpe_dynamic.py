@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -36,13 +36,15 @@ from gridloom.llm.lockstep import Automaton, IntTable, by_length
 
 #: How the tokenizer file of this kind writes the 256 bytes as visible characters.
 VISIBLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-SPACE = regex.compile(r"\p{White_Space}+")
+WHITE = "\\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Runs of white space other than one blank.
+SPACE = re.compile(f"(?:[{WHITE}]| (?=[ {WHITE}]))[ {WHITE}]*")
 FOREVER = 1 << 62
 #: Characters below this one have had the same properties in all Unicode versions since long.
 PLAIN = "\u0250"
 #: Positions times words that are stepped through together; what is kept of earlier texts, and the longest of it.
 CELLS = 1 << 20
-MOST_PAIRS, MOST_WORDS, MOST_CHUNKS, LONGEST_KEPT = 1_000_000, 300_000, 300_000, 48
+MOST_PAIRS, MOST_WORDS, MOST_CHUNKS, LONGEST_KEPT = 1_000_000, 450_000, 450_000, 48
 PAIR = 1 << 20
 
 
@@ -84,8 +86,11 @@ class DynamicBpe:
         self.spines = cache(self._spines)
         self.reachable = np.array([self.spines(i) is not None for _, i in tokens])
         self.pairs = IntTable(20)  # (left id, right id) as one long -> 1 if compatible, else 0
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        #: Ids and decoded text of words and of chunks met before.
+        self.word_ids: dict[str, bytes] = {}
+        self.word_text: dict[str, str] = {}
+        self.chunk_ids: dict[str, bytes] = {}
+        self.chunk_text: dict[str, str] = {}
 
     def _spines(self, token: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
         """The tokens down the left and the right edge of the token's merge tree, each with the rank of the merge that
@@ -181,9 +186,10 @@ class DynamicBpe:
             out[i] = ids
         return out
 
-    def _learn(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
+    def _learn(self, words: list[str]) -> None:
         text = self.text.__getitem__
-        return {w: (ids.tobytes(), " ".join(map(text, ids.tolist()))) for w, ids in zip(words, self.encode_words(words), strict=True)}
+        for w, ids in zip(words, self.encode_words(words), strict=True):
+            self.word_ids[w], self.word_text[w] = ids.tobytes(), " ".join(map(text, ids.tolist()))
 
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk in scripts where libraries may know different Unicode versions: by the library's own."""
@@ -199,17 +205,26 @@ class DynamicBpe:
         """Of each text the ids as little-endian unsigned 32-bit integers, and the decoded chunks."""
         parts = [self.special_at.split(t) if self.special_at and "<|" in t else [t] for t in texts]
         split = [[self.normal(p).split(" ") if k % 2 == 0 else p for k, p in enumerate(ps)] for ps in parts]
-        seen = {c for ps in split for p in ps[::2] for c in p}
-        if len(self.chunks) + len(seen) > MOST_CHUNKS:
-            self.chunks = {}
-        words = {c: self.words(c) if c.isascii() or max(c) < PLAIN else self.split(c) for c in seen.difference(self.chunks)}
-        new = {w for ws in words.values() for w in ws}
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known = {}
-        self.known |= self._learn(list(new.difference(self.known)))
+        seen = set()
+        for ps in split:
+            for p in ps[::2]:
+                seen.update(p)
+        if len(self.chunk_ids) + len(seen) > MOST_CHUNKS:
+            self.chunk_ids, self.chunk_text = {}, {}
+        words = {c: self.words(c) if c.isascii() or max(c) < PLAIN else self.split(c) for c in seen.difference(self.chunk_ids)}
+        new = set()
+        for ws in words.values():
+            new.update(ws)
+        if len(self.word_ids) + len(new) > MOST_WORDS:
+            self.word_ids, self.word_text = {}, {}
+        self._learn(list(new.difference(self.word_ids)))
+        word_ids, word_text = self.word_ids.__getitem__, self.word_text.__getitem__
         for c, ws in words.items():
-            pairs = [self.known[w] for w in ws]
-            self.chunks[c] = pairs[0] if len(pairs) == 1 else (b"".join(x[0] for x in pairs), " ".join(x[1] for x in pairs))
+            if len(ws) == 1:
+                self.chunk_ids[c], self.chunk_text[c] = word_ids(ws[0]), word_text(ws[0])
+            else:
+                self.chunk_ids[c], self.chunk_text[c] = b"".join(map(word_ids, ws)), " ".join(map(word_text, ws))
+        chunk_ids, chunk_text = self.chunk_ids.__getitem__, self.chunk_text.__getitem__
         out = []
         for ps in split:
             ids, shown = [], []
@@ -218,15 +233,12 @@ class DynamicBpe:
                     ids.append(np.array([self.special[p]], "<u4").tobytes())
                     shown.append(p)
                 else:
-                    for b, t in map(self.chunks.__getitem__, p):
-                        if b:
-                            ids.append(b)
-                            shown.append(t)
+                    ids.extend(map(chunk_ids, p))
+                    shown.extend(filter(None, map(chunk_text, p)))
             out.append((b"".join(ids), shown))
-        for w in (*words, *new):
-            if len(w) > LONGEST_KEPT:
-                self.chunks.pop(w, None)
-                self.known.pop(w, None)
+        for w in (w for w in (*words, *new) if len(w) > LONGEST_KEPT):
+            for kept in (self.chunk_ids, self.chunk_text, self.word_ids, self.word_text):
+                kept.pop(w, None)
         return out
 
     def decode(self, ids: list[int]) -> str:
