@@ -1,4 +1,25 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers f(t) under a name, where t(table) reads a table; sql is the same in DuckDB's SQL."""
+
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+from gridloom.plans import aggregation, columns, joins, rows, statistics, windows  # noqa: E402, F401
