@@ -38,6 +38,8 @@ SEED = 42
 #: Shingles hashed at a time, so that a very long text needs little memory.
 BLOCK = 1 << 16
 SEGMENTS = 32
+#: Fingerprints with no more rows than this are never treated as frequent.
+FEW_COPIES = 1000
 RADIUS = 3
 #: Of the 32 bits of half a fingerprint: the lower bit of each segment.
 LOW_BITS = 0x55555555
@@ -136,15 +138,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id) of every row: 16 hexadecimal digits, and the smallest id reachable over
     links of 3 or fewer differing bits, its own included."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    groups = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
+    groups = cut(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
     roots = cut(components(links(groups)))
     named = roots.join(groups, roots["node"] == groups["fp"])
     lowest = named.groupBy("root").agg(F.min("low").alias("lowest"))
     joined = named.join(lowest, "root").select("fp", "lowest")
-    of_fp = groups.join(joined, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
-    return prints.join(of_fp, "fp").select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    of_fp = cut(groups.join(joined, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"), "n"))
+    # Copies beyond a thousandth of the rows: at most a thousand fingerprints, so these are broadcast and their rows stay put.
+    many = max(FEW_COPIES, (groups.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot, others = of_fp.where(F.col("n") > many).drop("n"), of_fp.where(F.col("n") <= many).drop("n")
+    rest = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(others, "fp")
+    found = prints.join(F.broadcast(hot), "fp").select("fp", "id", "component_id").union(rest.select("fp", "id", "component_id"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
