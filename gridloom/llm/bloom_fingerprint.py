@@ -1,7 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs are its lines, long ones cut into pieces, and each is hashed to a 64-bit digest. A sketch has cells in three
-rows; each digest is added to one cell of each row, where a cell holds how many there are, the XOR of the digests and
+A text's paragraphs are its lines, long ones cut into pieces, finer at the start of a text than further on, whatever its
+length. Each is hashed to a digest of 56 bits that ends in 8 bits of its length, so that recovered digests can be
+weighed by their characters. A sketch has cells in three rows; each digest is added to one cell of each row, where a cell holds how many there are, the XOR of the digests and
 the XOR of their checksums. The sketches of two versions are subtracted cell by cell. What both have vanishes. A cell with one digest left
 gives it away; taking it out of its other cells uncovers more ("peeling"), until the differing digests are recovered.
 
@@ -29,9 +30,11 @@ from gridloom.llm.common import cut
 FIRST, LARGER = 8, 32
 ROUNDS = 6
 PER_BUCKET = 16
-#: Longest paragraph piece by the text's length: short texts are cut finer.
-SHORT, MIDDLE = (400, 32), (1600, 64)
+#: (code points, longest piece) of a text's first parts, and the longest piece of the rest, of at most 8 bits. What a part
+#: is cut into doesn't depend on how long the text is, so that a cut version shares its pieces.
+PARTS = ((400, 32), (1200, 64))
 LONGEST = 200
+LENGTH_BITS = 8
 
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -41,16 +44,25 @@ def _let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
-    pieces = lambda n: F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{n}}}"), F.lit(0))
-    size = F.char_length(text)
-    found = F.when(size <= SHORT[0], pieces(SHORT[1])).when(size <= MIDDLE[0], pieces(MIDDLE[1])).otherwise(pieces(LONGEST))
-    return F.array_distinct(F.transform(found, lambda p: F.xxhash64(p)))
+    pieces = lambda part, n: F.regexp_extract_all(part, F.lit(rf"[^\n]{{1,{n}}}"), F.lit(0))
+    found, at = [], 1
+    for size, longest in PARTS:
+        found.append(pieces(F.substring(text, F.lit(at), F.lit(size)), longest))
+        at += size
+    found.append(pieces(F.substring(text, F.lit(at), F.char_length(text)), LONGEST))
+    low = (1 << LENGTH_BITS) - 1
+    return F.array_distinct(F.transform(F.concat(*found), lambda p: F.xxhash64(p).bitwiseAND(F.lit(~low)).bitwiseOR(F.char_length(p).cast("long"))))
+
+
+def characters(digests: Column) -> Column:
+    """The characters of the paragraphs of some digests."""
+    return F.aggregate(digests, F.lit(0).cast("long"), lambda n, d: n + d.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)))
 
 
 def _lies_in(digest: Column, cell: Column, width: int) -> Column:
     """Whether a digest belongs to a cell, of a sketch of three rows of so many cells. Each row uses other bits."""
     row = F.shiftright(cell, width.bit_length() - 1)
-    bits = F.when(row == 0, digest).when(row == 1, F.shiftright(digest, 8)).otherwise(F.shiftright(digest, 16))
+    bits = F.when(row == 0, F.shiftright(digest, LENGTH_BITS)).when(row == 1, F.shiftright(digest, LENGTH_BITS + 8)).otherwise(F.shiftright(digest, LENGTH_BITS + 16))
     return bits.bitwiseAND(F.lit(width - 1)) == cell.bitwiseAND(F.lit(width - 1))
 
 
@@ -116,7 +128,7 @@ def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Col
     each = lambda n, f: F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f))
 
     def bucketed(n: Column) -> Column:
-        of = lambda x, g, fold: F.filter(x, lambda d: F.pmod(fold(F.shiftrightunsigned(d, 24)), n) == g)
+        of = lambda x, g, fold: F.filter(x, lambda d: F.pmod(fold(F.shiftrightunsigned(d, LENGTH_BITS + 24)), n) == g)
         flat, high = (lambda v: v), (lambda v: F.shiftrightunsigned(v, 20))
         found = each(n, lambda g: _let(
             F.struct(of(a, g, flat).alias("a"), of(b, g, flat).alias("b")),
@@ -128,10 +140,10 @@ def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Col
     return _let(peel(subtract(sketch_a, sketch_b)), lambda r: F.when(r["done"], r).otherwise(_let(groups, bucketed)))
 
 
-def likeness(n_a: Column, n_b: Column, diff: Column) -> Column:
-    """Twice the shared paragraphs over those of both, from 0 to 1."""
-    shared = n_a - F.size(diff["here"])
-    return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise(2.0 * shared / (n_a + n_b))
+def likeness(a: Column, b: Column, diff: Column) -> Column:
+    """Twice the characters of shared paragraphs over those of both, from 0 to 1."""
+    of_a, of_b = characters(a), characters(b)
+    return F.when(of_a + of_b == 0, F.lit(1.0)).otherwise(2.0 * (of_a - characters(diff["here"])) / (of_a + of_b))
 
 
 def shown(cells: Column) -> Column:
@@ -190,7 +202,7 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.withColumns({"de": differences(F.col("a"), F.col("e"), F.col("sa"), F.col("se")), "dn": differences(F.col("a"), F.col("b"), F.col("sa"), F.col("sb"))})
     rows = rows.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("sa")).alias("fingerprint"), shown(F.col("se")).alias("edited_fingerprint"),
-        likeness(F.size("a"), F.size("e"), F.col("de")).alias("near_edited"), likeness(F.size("a"), F.size("b"), F.col("dn")).alias("near_next"),
+        likeness(F.col("a"), F.col("e"), F.col("de")).alias("near_edited"), likeness(F.col("a"), F.col("b"), F.col("dn")).alias("near_next"),
         F.col("de.here").alias("only_before"), F.col("de.there").alias("only_edited"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     )
     return rows.drop("copy")

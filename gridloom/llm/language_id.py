@@ -16,19 +16,20 @@ for itself; an empty table gives an empty result; further columns are ignored, w
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import held_out, workers_can_import
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script; numerals such as "½" are none.
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: Code points that are looked at at a time.
 BLOCK = 1 << 18

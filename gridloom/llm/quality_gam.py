@@ -9,7 +9,7 @@ trees of four leaves. A score is the sum of the looked-up numbers, through the l
 Fitted on at most about `most_rows` labelled rows, taken by a hash of the id. Every text is scored whole.
 
 What happens in each case: null text counts as the empty text, and empty texts get a score like others; rows with null
-label or id don't teach; with no row to learn from every score is 0.5; with one label only, the scores are near that
+label or id don't teach; of an id with both labels, 0 counts; with no row to learn from every score is 0.5; with one label only, the scores are near that
 label; repeated rows are scored each for itself; an empty table gives an empty result; further columns are ignored by
 `score`, and kept as they are by `keep_good`, whatever their names.
 """
@@ -155,7 +155,7 @@ def _described(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AdditiveModel:
     """The model of the labelled rows that aren't held out; labels: (id, label) rows."""
     workers_can_import(docs.sparkSession)
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(~held_out("id") & F.col("y").isin(0, 1)).where("id is not null").dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where(~held_out("id") & F.col("y").isin(0, 1)).where("id is not null").groupBy("id").agg(F.min("y").alias("y"))
     share = min(1.0, most_rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
     # No more than about most_rows ids of 12 bytes, whatever the size of the tables.

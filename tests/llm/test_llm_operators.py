@@ -231,6 +231,21 @@ def test_bloom_versions(odd, empty):
     assert len({r["fingerprint"] for r in rows if r["doc_id"] in (12, 13)}) == 1
 
 
+@pytest.mark.parametrize("n", [390, 500, 1700, 6000])
+def test_bloom_likeness_weighs_characters(spark, n):
+    """A cut version keeps about its share of characters, whichever lengths the two have."""
+    rng = random.Random(n)
+    words = " ".join(str(rng.random()) for _ in range(n))[:n]
+    rows = spark.createDataFrame([(2, words), (1, words[: 2 * n // 3]), (0, "other")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in bloom_fingerprint.compare_versions(rows).collect()}
+    assert abs(found[2]["near_edited"] - 0.66) < 0.08
+    assert abs(found[2]["near_next"] - 0.8) < 0.06 and abs(found[1]["near_edited"] - 0.8) < 0.08 and found[1]["near_next"] == 0
+
+
+def test_numerals_are_no_letters():
+    assert not any(map(language_id.LETTER.search, ("½ ² Ⅷ 12 _ 😀", "", " ."))) and all(map(language_id.LETTER.search, ("é", "日", "ª1")))
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in np.round(rng.normal(size=8), 1)], "c") for i in range(120)]
