@@ -32,7 +32,7 @@ ROUNDS = 6
 PER_BUCKET = 16
 #: (code points, longest piece) of a text's first parts, and the longest piece of the rest, of at most 8 bits. What a part
 #: is cut into doesn't depend on how long the text is, so that a cut version shares its pieces.
-PARTS = ((400, 32), (1200, 64))
+PARTS = ((192, 32), (576, 96))
 LONGEST = 200
 LENGTH_BITS = 8
 
