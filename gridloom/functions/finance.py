@@ -26,3 +26,26 @@ def sharpe(returns: str, risk_free: float = 0.0) -> Column:
 def value_at_risk(returns: str, level: float = 0.95) -> Column:
     """The loss not exceeded with the given share, by the exact quantile."""
     return -F.percentile(returns, F.lit(1 - level))
+
+
+def net_present_value(flow: str, period: str, rate: float) -> Column:
+    """Of rows that each hold a flow and its period, as an aggregate."""
+    return F.sum(F.col(flow) / F.pow(F.lit(1 + rate), F.col(period)))
+
+
+def growth_rate(first: Column, last: Column, periods: Column) -> Column:
+    """The compound rate that leads from first to last."""
+    return F.when((first > 0) & (last > 0) & (periods > 0), F.pow(last / first, 1 / periods) - 1)
+
+
+def sortino(returns: str, target: float = 0.0) -> Column:
+    below = F.least(F.col(returns) - target, F.lit(0.0))
+    return F.try_divide(F.avg(returns) - target, F.sqrt(F.avg(below * below)))
+
+
+def black_scholes_call(spot: Column, strike: Column, rate: Column, volatility: Column, years: Column) -> Column:
+    from gridloom.functions.statistics import normal_cdf
+
+    spread = volatility * F.sqrt(years)
+    d1 = (F.ln(spot / strike) + (rate + volatility * volatility / 2) * years) / spread
+    return spot * normal_cdf(d1) - strike * F.exp(-rate * years) * normal_cdf(d1 - spread)

@@ -87,3 +87,50 @@ def normal_cdf(x: Column) -> Column:
         return v.map(lambda one: 0.5 * math.erfc(-one / math.sqrt(2)), na_action="ignore").astype("float64")
 
     return F.pandas_udf(of, "double")(x)
+
+
+def winsorized_mean(df: DataFrame, c: str, share: float) -> DataFrame:
+    """The mean with values beyond the share's quantiles at either end moved to them."""
+    ends = df.agg(F.percentile(c, F.lit(share)).alias("__a"), F.percentile(c, F.lit(1 - share)).alias("__b"))
+    return df.where(F.col(c).isNotNull()).join(F.broadcast(ends)).agg(F.avg(F.least(F.greatest(F.col(c), F.col("__a")), F.col("__b"))).alias("winsorized_mean"))
+
+
+def median_deviation(df: DataFrame, c: str) -> DataFrame:
+    """(mad): the median distance from the median."""
+    middle = df.agg(F.median(c).alias("__m"))
+    return df.join(F.broadcast(middle)).agg(F.median(F.abs(F.col(c) - F.col("__m"))).alias("mad"))
+
+
+def weighted_variance(value: str, weight: str) -> Column:
+    """By the sum of the weights less 1."""
+    x, w = F.col(value), F.when(F.col(value).isNotNull(), F.col(weight)).cast("double")
+    return F.try_divide(F.sum(w * x * x) - F.try_divide(F.pow(F.sum(w * x), F.lit(2)), F.sum(w)), F.sum(w) - 1)
+
+
+def one_sample_t(value: str, mean: float) -> Column:
+    return F.try_divide(F.avg(value) - mean, F.stddev_samp(value) / F.sqrt(F.count(value)))
+
+
+def cohens_d(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
+    """(d): the difference of two means over the pooled deviation."""
+    of = lambda g: F.when(F.col(group) == g, F.col(value))
+    (ma, va, na), (mb, vb, nb) = ((F.avg(of(g)), F.var_samp(of(g)), F.count(of(g))) for g in (a, b))
+    return df.agg(F.try_divide(ma - mb, F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))).alias("d"))
+
+
+SPECIAL = {"erf": math.erf, "erfc": math.erfc, "gamma": math.gamma, "lgamma": math.lgamma}
+
+
+def special(name: str, x: Column) -> Column:
+    """erf, erfc, gamma or lgamma, in Arrow batches; null where it isn't defined or too large."""
+
+    def one(v: float) -> float | None:
+        try:
+            return SPECIAL[name](v)
+        except (ValueError, OverflowError):
+            return None
+
+    def of(v: pd.Series) -> pd.Series:
+        return v.map(one, na_action="ignore").astype("float64")
+
+    return F.pandas_udf(of, "double")(x)
