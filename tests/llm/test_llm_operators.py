@@ -241,7 +241,8 @@ def test_bloom_likeness_weighs_characters(spark, n):
     # A cut inside a piece loses that piece: of at most 32, 96 or 200 characters, by where the cut falls.
     lost = lambda at: 32 if at < 192 else 96 if at < 768 else 200
     third = n // 3
-    assert abs(found[2]["near_edited"] - (n - third) / n) <= lost(n - third) / n
+    # What the edit brings in is of the same text, so it may repeat pieces, which count once.
+    assert found[2]["near_edited"] >= (n - third - lost(n - third)) / n
     assert abs(found[2]["near_next"] - 0.8) <= 2 * lost(2 * third) / (n + 2 * third)
     assert abs(found[1]["near_edited"] - 0.8) <= 2 * lost(n - 5 * n // 9) / n and found[1]["near_next"] == 0
 
