@@ -134,3 +134,51 @@ def special(name: str, x: Column) -> Column:
         return v.map(one, na_action="ignore").astype("float64")
 
     return F.pandas_udf(of, "double")(x)
+
+
+def bonferroni(df: DataFrame, p: str) -> DataFrame:
+    """p times the number of tests, at most 1."""
+    n = df.agg(F.count(p).alias("__n"))
+    return df.join(F.broadcast(n)).withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.col("__n"))).drop("__n")
+
+
+def benjamini_hochberg(df: DataFrame, key: str, p: str) -> DataFrame:
+    """Step-up adjusted p-values for the rate of false discoveries, for a table of tests."""
+    w = Window.orderBy(p, key)
+    raw = F.col(p) * F.count("*").over(Window.partitionBy()) / F.row_number().over(w)
+    return df.withColumn("__raw", raw).withColumn("adjusted", F.least(F.lit(1.0), F.min("__raw").over(w.rowsBetween(0, Window.unboundedFollowing)))).drop("__raw")
+
+
+def paired_t(a: str, b: str) -> Column:
+    d = F.col(a) - F.col(b)
+    return F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count(d)))
+
+
+def goodness_of_fit(df: DataFrame, c: str, shares: dict) -> DataFrame:
+    """(chi2, dof) of a column's counts against the expected shares; values without a share are left out."""
+    want = df.sparkSession.createDataFrame([(str(k), float(v)) for k, v in shares.items()], "k string, share double")
+    n = df.where(F.col(c).cast("string").isin([str(k) for k in shares])).groupBy(F.col(c).cast("string").alias("k")).agg(F.count("*").cast("double").alias("o"))
+    cells = want.join(n, "k", "left").join(F.broadcast(n.agg(F.sum("o").alias("t"))))
+    e = F.col("share") * F.col("t")
+    return cells.agg(F.sum(F.pow(F.coalesce("o", F.lit(0.0)) - e, F.lit(2)) / e).alias("chi2"), (F.count("*") - 1).alias("dof"))
+
+
+def brown_forsythe(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(f, between, within): analysis of variance of the distances from each group's median, a test of equal spread."""
+    middle = df.groupBy(group).agg(F.median(value).alias("__m"))
+    return anova_f(df.join(middle, group).select(group, F.abs(F.col(value) - F.col("__m")).alias(value)), value, group)
+
+
+def bootstrap_mean(df: DataFrame, c: str, key: str, rounds: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """(low, high): an interval of the mean over resampled rows. Each row enters each round a Poisson number of times,
+    drawn from its key, so all rounds are sums of one pass."""
+    steps = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(12)]
+    times = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, s: n + F.when(F.xxhash64(F.lit(seed), r, F.col(key)).cast("double") / 2.0**64 + 0.5 > s, 1).otherwise(0)))
+    drawn = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("x"), F.posexplode(times).alias("round", "n"))
+    means = drawn.groupBy("round").agg(F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum("n")).alias("m"))
+    return means.agg(F.percentile("m", F.lit((1 - level) / 2)).alias("low"), F.percentile("m", F.lit((1 + level) / 2)).alias("high"))
+
+
+def jackknife(c: str) -> list[Column]:
+    """(estimate, error) of the mean with one row left out at a time, as aggregates: the algebra needs no resampling."""
+    return [F.avg(c).alias("estimate"), (F.stddev_samp(c) / F.sqrt(F.count(c))).alias("error")]

@@ -72,3 +72,95 @@ def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> Data
         to = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("stuck") / n)
         rank = checkpointed(rank.drop("rank").join(sent, "node", "left").join(F.broadcast(stuck)).select("node", "out", to.alias("rank")))
     return rank.select("node", "rank")
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component): for each node of the edges, the smallest node that it reaches.
+
+    Large-star and small-star steps in turn: each round ties every node's larger neighbours to the smallest node next
+    to it, then its smaller ones, until nothing changes. Rounds grow with the logarithm of the longest path. A node
+    with many neighbours is aggregated before the shuffle; nothing gathers a component in one place.
+    """
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        if large:
+            both = e.select(F.col("a").alias("n"), F.col("b").alias("m")).union(e.select(F.col("b").alias("n"), F.col("a").alias("m")))
+        else:
+            both = e.select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("m"))
+        lowest = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+        tied = both.join(lowest, "n")
+        if large:
+            tied = tied.where("m > n").select(F.col("m").alias("a"), F.col("low").alias("b"))
+        else:
+            tied = tied.select(F.col("m").alias("a"), F.col("low").alias("b")).union(lowest.select(F.col("n").alias("a"), F.col("low").alias("b")))
+        return tied.where("a <> b").distinct()
+
+    e = checkpointed(edges.select("a", "b").where("a <> b").distinct())
+    was = None
+    for _ in range(most_rounds):
+        e = checkpointed(star(star(e, True), False))
+        if (now := tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())) == was:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())
+        was = now
+    raise RuntimeError(f"not settled in {most_rounds} rounds")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(nodes, edges, components, cycles) of the graph; cycles counts the edges beyond a spanning forest."""
+    e = checkpointed(both_ways(edges).where("a < b"))
+    c = connected_components(e).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
+    return c.join(F.broadcast(e.agg(F.count("*").alias("edges")))).select("nodes", "edges", "components", (F.col("edges") - F.col("nodes") + F.col("components")).alias("cycles"))
+
+
+def bipartite(edges: DataFrame) -> DataFrame:
+    """(component, bipartite) of whole-number nodes: a component is not if a node meets itself in the graph's double cover."""
+    e = checkpointed(both_ways(edges).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a < b"))
+    side = lambda c, s: (2 * F.col(c) + s)
+    cover = e.select(side("a", 0).alias("a"), side("b", 1).alias("b")).union(e.select(side("a", 1).alias("a"), side("b", 0).alias("b")))
+    found = connected_components(cover).select(F.floor(F.col("node") / 2).alias("node"), F.col("component").alias("part"))
+    apart = found.groupBy("node").agg((F.min("part") != F.max("part")).alias("apart"))
+    return connected_components(e).join(apart, "node").groupBy("component").agg(F.every("apart").alias("bipartite"))
+
+
+def spanning_forest(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(a, b, w), a < b: the lightest edges that keep all nodes connected; ties go to smaller ends.
+
+    By Boruvka's rounds: each component takes its lightest edge out, then components that met become one; their
+    number at least halves each round, and edges inside a component are dropped.
+    """
+    some = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("w")).na.drop().where("a <> b")
+    left = checkpointed(some.groupBy("a", "b").agg(F.min("w").alias("w")).withColumns({"ca": F.col("a"), "cb": F.col("b")}))
+    taken = []
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            break
+        edge = F.struct("w", "a", "b", "ca", "cb")
+        ways = left.select(F.col("ca").alias("c"), edge.alias("e")).union(left.select(F.col("cb").alias("c"), edge.alias("e")))
+        best = checkpointed(ways.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
+        taken.append(best.select("a", "b", "w"))
+        merged = checkpointed(connected_components(best.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        for c in ("ca", "cb"):
+            left = left.join(merged.select(F.col("node").alias(c), F.col("component").alias("__c")), c, "left").withColumn(c, F.coalesce("__c", c)).drop("__c")
+        left = checkpointed(left.where("ca <> cb"))
+    else:
+        raise RuntimeError(f"not settled in {most_rounds} rounds")
+    out = left.select("a", "b", "w")
+    for t in taken:
+        out = out.union(t)
+    return out
+
+
+def topological_levels(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(node, level) over directed edges: 0 without a way in, else one more than the highest before it. Nodes on or
+    behind a cycle are left out, so a graph without cycles has as many rows as nodes."""
+    left = checkpointed(edges.select("a", "b").na.drop().distinct())
+    nodes = checkpointed(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
+    levels = None
+    for k in range(most_rounds):
+        free = checkpointed(nodes.join(left.select(F.col("b").alias("node")), "node", "left_anti").withColumn("level", F.lit(k)))
+        if free.isEmpty():
+            return free if levels is None else levels
+        levels = free if levels is None else checkpointed(levels.union(free))
+        nodes = checkpointed(nodes.join(free, "node", "left_anti"))
+        left = checkpointed(left.join(free.select(F.col("node").alias("a")), "a", "left_anti"))
+    raise RuntimeError(f"more than {most_rounds} levels")

@@ -95,3 +95,114 @@ def class_measures(y: Column, p: Column) -> list[Column]:
     """accuracy, precision, recall and f1 of two boolean columns, as aggregates."""
     hit, said, real = F.count_if(y & p), F.count_if(p), F.count_if(y)
     return [F.avg((y == p).cast("double")).alias("accuracy"), F.try_divide(hit, said).alias("precision"), F.try_divide(hit, real).alias("recall"), F.try_divide(2 * hit, said + real).alias("f1")]
+
+
+def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(x - least) / (greatest - least), 0 without any difference."""
+    ends = df.agg(*(f(c).cast("double").alias(f"__{n}_{c}") for c in columns for n, f in (("a", F.min), ("b", F.max))))
+    made = {c: F.when(F.col(f"__a_{c}") == F.col(f"__b_{c}"), F.lit(0.0)).otherwise((F.col(c) - F.col(f"__a_{c}")) / (F.col(f"__b_{c}") - F.col(f"__a_{c}"))) for c in columns}
+    return df.join(F.broadcast(ends)).withColumns(made).select(df.columns)
+
+
+def yeo_johnson(x: Column, power: float) -> Column:
+    """The power transform for numbers of either sign."""
+    up = F.log1p(x) if power == 0 else (F.pow(x + 1, F.lit(power)) - 1) / power
+    down = -F.log1p(-x) if power == 2 else -(F.pow(1 - x, F.lit(2 - power)) - 1) / (2 - power)
+    return F.when(x >= 0, up).otherwise(F.when(x.isNotNull(), down))
+
+
+def row_norm(columns: list[str], kind: str = "l2") -> Column:
+    """A row's length over its columns."""
+    xs = [F.col(c).cast("double") for c in columns]
+    return sum((F.abs(x) for x in xs), F.lit(0.0)) if kind == "l1" else F.sqrt(sum((x * x for x in xs), F.lit(0.0)))
+
+
+def varying(df: DataFrame, columns: list[str], above: float = 0.0) -> list[str]:
+    """The columns whose population variance exceeds a bound."""
+    found = df.agg(*(F.var_pop(c).alias(c) for c in columns)).first()
+    return [c for c in columns if found[c] is not None and found[c] > above]
+
+
+def mutual_information(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """(column, information) in nats between each column of few values and the label, from joint counts; most first."""
+    long = df.where(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("x")) for c in columns))).alias("s"))
+    n = long.select("s.*", "y").where(F.col("x").isNotNull()).groupBy("column", "x", "y").agg(F.count("*").cast("double").alias("xy"))
+    total = lambda *keys: F.sum("xy").over(Window.partitionBy("column", *keys))
+    part = F.col("xy") / total() * F.log(F.col("xy") * total() / (total("x") * total("y")))
+    return n.withColumn("__p", part).groupBy("column").agg(F.sum("__p").alias("information")).orderBy(F.desc("information"), "column")
+
+
+def cross_validate(df: DataFrame, kind: str, features: list[str], label: str, key: str, k: int, measures: list[Column], seed: int = 0, **settings) -> DataFrame:
+    """A row of the measures (aggregates over label and prediction) for each of k folds, held out in turn."""
+    from gridloom.operators import rows
+
+    dealt = df.withColumn("fold", rows.fold(key, k, seed))
+    out = None
+    for i in range(k):
+        model = fit(dealt.where(F.col("fold") != i), kind, features, label, **settings)
+        one = predict(dealt.where(F.col("fold") == i), model).agg(F.lit(i).alias("fold"), *measures)
+        out = one if out is None else out.union(one)
+    return out
+
+
+def permutation_importance(df: DataFrame, model, features: list[str], key: str, measure: Column, seed: int = 0) -> DataFrame:
+    """(feature, drop): how far a measure of the predictions falls when a feature's values move to other rows.
+
+    Rows are numbered twice, by key and by chance, within buckets of the key's hash, and take each other's value.
+    """
+    from gridloom.operators import rows
+
+    whole = predict(df, model).agg(measure.alias("m")).first()["m"]
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(max(1, df.count() // 1000)))
+    marked = df.withColumn("__b", bucket)
+    w = Window.partitionBy("__b")
+    out = None
+    for f in features:
+        given = marked.select("__b", F.col(f).alias("__v"), F.row_number().over(w.orderBy(rows.by_chance(key, seed + 1), key)).alias("__n"))
+        moved = marked.withColumn("__n", F.row_number().over(w.orderBy(key))).join(given, ["__b", "__n"]).withColumn(f, F.col("__v")).select(df.columns)
+        one = predict(moved, model).agg(F.lit(f).alias("feature"), (F.lit(whole) - measure).alias("drop"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def log_loss(y: str, p: str) -> Column:
+    """Of labels 0 and 1 and the probability of 1."""
+    q = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
+    return -F.avg(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))
+
+
+def brier(y: str, p: str) -> Column:
+    return F.avg(F.pow(F.col(p) - F.col(y), F.lit(2)))
+
+
+def matthews(y: Column, p: Column) -> Column:
+    """The correlation of two boolean columns; null if one never varies."""
+    tp, fp, fn, tn = (F.count_if(c).cast("double") for c in (y & p, ~y & p, y & ~p, ~y & ~p))
+    return F.try_divide(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
+
+
+def kappa(df: DataFrame, y: str, p: str) -> DataFrame:
+    """(kappa): agreement beyond what the margins give by chance, from the table of counts."""
+    n = confusion(df, y, p)
+    actual, said = n.groupBy(F.col("actual").alias("c")).agg(F.sum("n").alias("a")), n.groupBy(F.col("predicted").alias("c")).agg(F.sum("n").alias("p"))
+    chance = actual.join(said, "c").agg(F.sum(F.col("a").cast("double") * F.col("p")).alias("e"))
+    same = n.agg(F.sum("n").cast("double").alias("t"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("o"))
+    t, e, o = F.col("t"), F.coalesce("e", F.lit(0.0)) / (F.col("t") * F.col("t")), F.col("o") / F.col("t")
+    return same.join(F.broadcast(chance)).select(F.try_divide(o - e, 1 - e).alias("kappa"))
+
+
+def ndcg(df: DataFrame, keys: list[str], gain: str, score: str, tie: str, k: int) -> DataFrame:
+    """(keys, ndcg) of the k best scores of each key; null where nothing gains."""
+    w = Window.partitionBy(*keys)
+    at, ideal = F.row_number().over(w.orderBy(F.desc(score), tie)), F.row_number().over(w.orderBy(F.desc(gain), tie))
+    of = lambda r: F.sum(F.when(F.col(r) <= k, (F.pow(F.lit(2.0), F.col(gain)) - 1) / F.log2(F.col(r) + 1)).otherwise(0.0))
+    return df.withColumns({"__at": at, "__ideal": ideal}).groupBy(*keys).agg(F.try_divide(of("__at"), of("__ideal")).alias("ndcg"))
+
+
+def silhouette(df: DataFrame, features: list[str], prediction: str = "prediction") -> float:
+    """Of squared distances, in one pass over sums a cluster holds."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    made = VectorAssembler(inputCols=features, outputCol="__v", handleInvalid="skip").transform(df)
+    return ClusteringEvaluator(featuresCol="__v", predictionCol=prediction).evaluate(made)

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from gridloom.plans import aggregation, columns, joins, models, rows, statistics, windows  # noqa: E402, F401
+from gridloom.plans import aggregation, columns, extras, joins, models, rows, statistics, windows  # noqa: E402, F401
