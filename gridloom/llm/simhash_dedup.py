@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut, workers_can_import
+from gridloom.operators.graphs import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -99,39 +100,9 @@ def links(fps: DataFrame) -> DataFrame:
     return asks.join(halves, near).select("a", F.col("fp").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): for each node of the edges (a, b), the smallest node that it reaches.
-
-    Alternates the large-star and small-star steps: each round ties every node's larger neighbours to the smallest
-    node next to it, then its smaller ones, until nothing changes. Rounds grow with the logarithm of the longest
-    path. A node with many neighbours is aggregated before the shuffle; nothing gathers a component in one place.
-    """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("a").alias("n"), F.col("b").alias("m"))
-        if large:
-            both = both.union(e.select(F.col("b").alias("n"), F.col("a").alias("m")))
-        else:
-            both = e.select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("m"))
-        lowest = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        tied = both.join(lowest, "n")
-        if large:
-            tied = tied.where("m > n").select(F.col("m").alias("a"), F.col("low").alias("b"))
-        else:
-            tied = tied.select(F.col("m").alias("a"), F.col("low").alias("b")).union(lowest.select(F.col("n").alias("a"), F.col("low").alias("b")))
-        return tied.where("a <> b").distinct()
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    e = cut(edges.select("a", "b").where("a <> b").distinct())
-    was = None
-    for _ in range(most_rounds):
-        e = cut(star(star(e, True), False))
-        if (now := state(e)) == was:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())
-        was = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): for each node of the edges (a, b), the smallest node that it reaches."""
+    return connected_components(edges).withColumnRenamed("component", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
