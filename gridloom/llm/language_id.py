@@ -3,7 +3,9 @@
 Each language has a codeword of bits. For each bit a binary classifier on hashed character n-grams (1 to 3) learns to
 tell the languages whose bit is 1 from the others. A text gets the language whose codeword costs least: the sum over
 the bits of the classifier's logistic loss against the codeword's bit, weighted by how well that classifier did in
-training. If the two cheapest codewords are close, the text is flagged as ambiguous.
+training. If the two cheapest codewords are close, the text is flagged as ambiguous. If even the cheapest codeword costs
+much, the text is like no learned language: `fit` can learn how much the rows it learns from cost when they are left out
+of the fitting, and `keep_certain` leaves out what costs more than nearly all of them.
 
 The classifiers are fitted on a bounded sample: `per_language` rows of each language, taken by a hash of the id. Every
 text is scored whole, in blocks, so that a very long one needs little memory.
@@ -70,6 +72,7 @@ class CodeModel:
     bias: np.ndarray
     trust: np.ndarray  # of each bit
     buckets: int
+    most_loss: float = np.inf  # a text whose cheapest codeword costs more is like no language of the model
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         margin = (x @ self.weights + self.bias)[:, None, :] * self.codes[None]
@@ -77,12 +80,16 @@ class CodeModel:
 
     def predict(self, texts: list[str | None], ambiguous_below: float = 0.2) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is ambiguous, of each text."""
+        return self.judge(texts, ambiguous_below)[:3]
+
+    def judge(self, texts: list[str | None], ambiguous_below: float = 0.2) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, whether it is ambiguous, and what its codeword costs, of each text."""
         with_letter = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
-        lang, score, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        lang, score, unsure, cost = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool), np.full(len(texts), np.inf)
         for at in range(0, len(with_letter), 256):
             rows = with_letter[at : at + 256]
             loss = self.losses(np.stack([ngram_counts(texts[i], self.buckets) for i in rows]).astype(float))
-            best = loss.argmin(1)
+            best, cost[rows] = loss.argmin(1), loss.min(1)
             p = np.exp(loss.min(1, keepdims=True) - loss)
             p /= p.sum(1, keepdims=True)
             top = np.sort(p, axis=1)
@@ -91,11 +98,40 @@ class CodeModel:
                 unsure[rows] = top[:, -1] - top[:, -2] < ambiguous_below
             for i, k in zip(rows, best.tolist(), strict=True):
                 lang[i] = self.languages[k]
-        return lang, score, unsure
+        return lang, score, unsure, cost
+
+
+def _learn(names: list[str], x: np.ndarray, y: np.ndarray, rounds: int) -> CodeModel:
+    """The model of features x of the languages that y numbers."""
+    buckets, codes = x.shape[1], codewords(len(names))
+    target = codes[y]
+    weigh = (len(y) / len(names) / np.bincount(y, minlength=len(names)).clip(1))[y][:, None]
+    w, bias = np.zeros((buckets, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
+    step, vw, vb = 8.0, np.zeros_like(w), np.zeros_like(bias)
+    for _ in range(rounds):  # gradient descent with momentum on the logistic loss
+        g = (-target * weigh / (1 + np.exp(np.clip(target * (x @ w + bias), -30, 30)))).astype(np.float32) / len(y)
+        vw, vb = 0.9 * vw - step * (x.T @ g + 1e-5 * w), 0.9 * vb - step * g.sum(0)
+        w, bias = w + vw, bias + vb
+    right = ((x @ w + bias) * target > 0).mean(0)
+    trust = np.log(np.clip(right, 0.51, 0.999) / (1 - np.clip(right, 0.51, 0.999)))
+    return CodeModel(names, codes, w.astype(float), bias.astype(float), trust / trust.mean(), buckets)
+
 
+def _most_loss(names: list[str], x: np.ndarray, y: np.ndarray, rounds: int, share: float, folds: int = 4) -> float:
+    """What all but `share` of the rows cost at most, each by a model that is fitted without its fold."""
+    fold, loss = np.arange(len(y)) % folds, np.full(len(y), np.inf)
+    for k in range(folds):
+        out = fold == k
+        if out.any() and not out.all():
+            loss[out] = _learn(names, x[~out], y[~out], rounds).losses(x[out].astype(float)).min(1)
+    return float(np.quantile(loss, 1 - share, method="higher"))
 
-def fit(docs: DataFrame, lang: Column, teaches: Column, per_language: int = 500, buckets: int = 4096, rounds: int = 300, id_col: str = "doc_id", text_col: str = "text") -> CodeModel:
-    """The model of the rows where `teaches` holds and `lang` isn't null, about per_language of each language."""
+
+def fit(docs: DataFrame, lang: Column, teaches: Column, per_language: int = 500, buckets: int = 4096, rounds: int = 300, id_col: str = "doc_id", text_col: str = "text", lose: float | None = None) -> CodeModel:
+    """The model of the rows where `teaches` holds and `lang` isn't null, about per_language of each language.
+
+    lose: the share of such rows that `keep_certain` may take for no language of the model; None to learn no such bound.
+    """
     workers_can_import(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"), lang.alias("lang"), teaches.alias("on")).where("on and lang is not null and key is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
@@ -117,18 +153,10 @@ def fit(docs: DataFrame, lang: Column, teaches: Column, per_language: int = 500,
     found = sample.mapInArrow(features, "lang string, key string, x binary").orderBy("key").limit(2 * per_language * len(names)).collect()
     x = np.stack([np.frombuffer(r["x"], "<f2") for r in found]).astype(np.float32)
     y = np.array([names.index(r["lang"]) for r in found])
-    codes = codewords(len(names))
-    target = codes[y]
-    weigh = (len(y) / len(names) / np.bincount(y, minlength=len(names)).clip(1))[y][:, None]
-    w, bias = np.zeros((buckets, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
-    step, vw, vb = 8.0, np.zeros_like(w), np.zeros_like(bias)
-    for _ in range(rounds):  # gradient descent with momentum on the logistic loss
-        g = (-target * weigh / (1 + np.exp(np.clip(target * (x @ w + bias), -30, 30)))).astype(np.float32) / len(y)
-        vw, vb = 0.9 * vw - step * (x.T @ g + 1e-5 * w), 0.9 * vb - step * g.sum(0)
-        w, bias = w + vw, bias + vb
-    right = ((x @ w + bias) * target > 0).mean(0)
-    trust = np.log(np.clip(right, 0.51, 0.999) / (1 - np.clip(right, 0.51, 0.999)))
-    return CodeModel(names, codes, w.astype(float), bias.astype(float), trust / trust.mean(), buckets)
+    model = _learn(names, x, y, rounds)
+    if lose is not None:
+        model.most_loss = _most_loss(names, x, y, rounds, lose)
+    return model
 
 
 def predict(docs: DataFrame, model: CodeModel, id_col: str = "doc_id", text_col: str = "text", ambiguous_below: float = 0.2) -> DataFrame:
@@ -146,7 +174,8 @@ def predict(docs: DataFrame, model: CodeModel, id_col: str = "doc_id", text_col:
 
 
 def keep_certain(docs: DataFrame, model: CodeModel, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of docs whose text has a known language at a score of `least` or more; all columns as they are.
+    """The rows of docs whose text has a known language, not an ambiguous one, at a score of `least` or more and at no more
+    loss than the model's bound; all columns as they are.
 
     The columns may have any names and types; they are passed through as Arrow arrays.
     """
@@ -155,7 +184,7 @@ def keep_certain(docs: DataFrame, model: CodeModel, text_col: str = "text", leas
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, score, _ = shared.value.predict(b.column(at).to_pylist())
-            yield b.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(lang, score, strict=True)], pa.bool_()))
+            lang, score, unsure, cost = shared.value.judge(b.column(at).to_pylist())
+            yield b.filter(pa.array((np.array(lang, object) != UNKNOWN) & (score >= least) & ~unsure & (cost <= shared.value.most_loss), pa.bool_()))
 
     return docs.mapInArrow(of, docs.schema)

@@ -186,6 +186,25 @@ def test_language_odd_cases(odd, empty):
     assert language_id.predict(empty, model).count() == 0 and language_id.keep_certain(odd, model).count() == 0
 
 
+def test_language_stage_rejects_texts_of_no_known_language(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    letters = lambda abc, n: "".join(rng.choice(abc) for _ in range(n))
+    junk = [
+        "今天天气很好我们去公园散步然后回家吃饭看电视。" * 10, "Сегодня хорошая погода, мы пойдем гулять в парк, а потом домой. " * 6,
+        "Tänään on kaunis sää, menemme kävelylle puistoon ja sitten palaamme kotiin syömään päivällistä. " * 5,
+        "Bugün hava çok güzel, parka yürüyüşe çıkacağız, sonra eve dönüp akşam yemeği yiyeceğiz. " * 5,
+        letters("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 600), letters("0123456789abcdef", 600), "zq 1234 xj5678 " * 40,
+        " ".join(letters("abcdefghijklmnopqrstuvwxyz", rng.randint(2, 9)) for _ in range(80)), "12 34",
+    ]
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    planted = spark.createDataFrame([(-1 - i, t, None, "junk", len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(planted), "/root/testdata/sf0.01").select("doc_id").collect()}
+    long = {r["doc_id"] for r in docs.where("n_chars >= 100").select("doc_id").collect()}
+    assert min(kept) >= 0 and len(kept & long) >= 0.99 * len(long)
+
+
 def test_quality_held_out(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
     rows = quality_gam.score(docs, quality_gam.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
