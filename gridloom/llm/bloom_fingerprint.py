@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions only.
 
 A text's paragraphs are its lines, long ones cut into pieces, finer at the start of a text than further on, whatever its
-length. Each is hashed to a digest of 56 bits that ends in 8 bits of its length, so that recovered digests can be
+length. A piece that comes again counts again. Each is hashed to a digest of 56 bits that ends in 8 bits of its length, so that recovered digests can be
 weighed by their characters. A sketch has cells in three rows; each digest is added to one cell of each row, where a cell holds how many there are, the XOR of the digests and
 the XOR of their checksums. The sketches of two versions are subtracted cell by cell. What both have vanishes. A cell with one digest left
 gives it away; taking it out of its other cells uncovers more ("peeling"), until the differing digests are recovered.
@@ -32,7 +32,7 @@ ROUNDS = 6
 PER_BUCKET = 16
 #: (code points, longest piece) of a text's first parts, and the longest piece of the rest, of at most 8 bits. What a part
 #: is cut into doesn't depend on how long the text is, so that a cut version shares its pieces.
-PARTS = ((192, 32), (576, 96))
+PARTS = ((8, 2), (24, 4), (64, 8), (96, 16), (320, 32), (960, 96))
 LONGEST = 200
 LENGTH_BITS = 8
 
@@ -42,6 +42,19 @@ def _let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
+def numbered(digests: Column) -> Column:
+    """The digests, with those that come again told apart by how often they came before; the length stays."""
+    low = (1 << LENGTH_BITS) - 1
+    again = lambda d, j: F.when(j == 0, d).otherwise(F.xxhash64(d, j).bitwiseAND(F.lit(~low)).bitwiseOR(d.bitwiseAND(F.lit(low))))
+
+    def runs(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
+        run = lambda all_of, at, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(all_of, k + 1), F.size(x)) - at - 1), lambda j: again(F.get(x, at), j))
+        return _let(starts, lambda all_of: F.flatten(F.transform(all_of, lambda at, k: run(all_of, at, k))))
+
+    return _let(digests, lambda d: F.when(F.size(F.array_distinct(d)) == F.size(d), d).otherwise(F.array_distinct(_let(F.array_sort(d), runs))))
+
+
 def paragraphs(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
     pieces = lambda part, n: F.regexp_extract_all(part, F.lit(rf"[^\n]{{1,{n}}}"), F.lit(0))
@@ -51,7 +64,7 @@ def paragraphs(text: Column) -> Column:
         at += size
     found.append(pieces(F.substring(text, F.lit(at), F.char_length(text)), LONGEST))
     low = (1 << LENGTH_BITS) - 1
-    return F.array_distinct(F.transform(F.concat(*found), lambda p: F.xxhash64(p).bitwiseAND(F.lit(~low)).bitwiseOR(F.char_length(p).cast("long"))))
+    return numbered(F.transform(F.concat(*found), lambda p: F.xxhash64(p).bitwiseAND(F.lit(~low)).bitwiseOR(F.char_length(p).cast("long"))))
 
 
 def characters(digests: Column) -> Column:
@@ -74,9 +87,14 @@ def sketch(digests: Column, width: int = FIRST) -> Column:
     """The cells (n, k, h) of a set of digests."""
     add = lambda c, d: _cell(c["n"] + 1, c["k"].bitwiseXOR(d), c["h"].bitwiseXOR(F.xxhash64(d)))
     nothing = _cell(F.lit(0), F.lit(0), F.lit(0))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(3 * width - 1)), lambda i: F.aggregate(F.filter(digests, lambda d: _lies_in(d, i, width)), nothing, add)
-    )
+    # Row by row, as `_lies_in` says, so that a row's bits are taken once for each digest.
+    def row(r: int) -> Column:
+        bits = lambda d: F.shiftright(d, LENGTH_BITS + 8 * r).bitwiseAND(F.lit(width - 1))
+        in_row = F.transform(digests, lambda d: F.struct(bits(d).alias("at"), d.alias("d")))
+        cells = lambda x: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda i: F.aggregate(F.filter(x, lambda y: y["at"] == i), nothing, lambda c, y: add(c, y["d"])))
+        return _let(in_row, cells)
+
+    return F.concat(*(row(r) for r in range(3)))
 
 
 def subtract(a: Column, b: Column) -> Column:

@@ -266,6 +266,22 @@ def test_bloom_likeness_weighs_characters(spark, n):
     assert abs(found[1]["near_edited"] - 0.8) <= 2 * lost(n - 5 * n // 9) / n and found[1]["near_next"] == 0
 
 
+@pytest.mark.parametrize("n", [3, 5, 9, 20, 33, 47, 90, 390, 500, 1700, 6000])
+def test_bloom_likeness_of_cut_versions_of_any_length(spark, n):
+    """Two thirds of a text stay, so about that likeness must: within 0.08, or half of it for texts of a few words."""
+    rng = random.Random(n)
+    words = " ".join(str(rng.random()) for _ in range(n))[:n]
+    rows = spark.createDataFrame([(2, words), (1, "other " * n)], "doc_id long, text string")
+    near = {r["doc_id"]: r["near_edited"] for r in bloom_fingerprint.compare_versions(rows).collect()}[2]
+    assert abs(near - 0.66) < 0.08 if n >= 390 else near > 0.4
+
+
+def test_bloom_pieces_that_come_again_count_again(spark):
+    rows = spark.createDataFrame([(1, "same line\n" * 50), (0, "same line\n" * 500), (2, "ab" * 4)], "doc_id long, text string")
+    found = rows.select("doc_id", "text", bloom_fingerprint.paragraphs(F.col("text")).alias("p")).withColumn("n", bloom_fingerprint.characters(F.col("p"))).collect()
+    assert all(r["n"] == len(r["text"].replace("\n", "")) and len(set(r["p"])) == len(r["p"]) for r in found)
+
+
 def test_numerals_are_no_letters():
     assert not any(map(language_id.LETTER.search, ("½ ² Ⅷ 12 _ 😀", "", " ."))) and all(map(language_id.LETTER.search, ("é", "日", "ª1")))
 
