@@ -2,7 +2,8 @@
 
 A text is made canonical: letters A-Z to lower case, lines that state a copyright out, equivalent spellings to one,
 everything but letters and digits to one blank. The SHA-256 of that is looked up among the digests of known licence
-texts by a broadcast hash join; the known table has one row a licence, fixed in this file or given by the caller.
+texts by a broadcast hash join; the known table has a row for each form of a licence (with and without its title or what
+follows its terms), fixed in this file and the folder `licenses` or given by the caller.
 Besides whole texts, single lines are looked up, as a short notice is a text of its own.
 
 What happens in each case: null text counts as the empty text; a text without letters or digits has the digest of the
@@ -13,6 +14,8 @@ whatever their names. Texts are handled whole.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +57,7 @@ _BSD_END = (
     "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
 #: Name -> text of known public licences and notices.
-KNOWN = (
+_SHORT = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
      '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
      "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
@@ -79,6 +82,35 @@ KNOWN = (
     ("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0-notice", "Licensed under CC BY 4.0."),
 )
+#: Titles that stand above the texts that have none of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: Texts in the folder `licenses`, a file each.
+FILES = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense")
+#: What follows this in a text is advice on its use, which many copies leave out.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def _forms(name: str, text: str) -> list[tuple[str, str]]:
+    """(name, text) of each form in which a licence's text is found."""
+    terms, end, _ = text.partition(TERMS_END)
+    whole = [text, terms + end, terms] if end else [text]
+    return [(name, x) for x in (*whole, *(f"{title}\n\n{text}" for title in TITLES.get(name, ())))]
+
+
+KNOWN = _SHORT + tuple(
+    form
+    for name, text in (*_SHORT, *((n, resources.files(__package__).joinpath("licenses", f"{n}.txt").read_text("utf-8")) for n in FILES))
+    for form in _forms(name, text)
+    if form not in _SHORT
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything but a-z, 0-9 and letters beyond ASCII; dashes and quotation marks are punctuation too.
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+|[\x{A0}\x{A9}\x{AE}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{3000}]+"
@@ -110,7 +142,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     """(doc_id, digest, license, notices): the digest of the whole text, the licence whose text it is (or null), and
     the licences and notices that single lines of it are, sorted.
 
-    known: (license, text) rows; more than most_known distinct digests are joined by a shuffle instead of a broadcast.
+    known: (license, text) rows; more than most_known distinct digests are joined by a shuffle instead of a broadcast, and
+    so are the lines' digests, of each distinct text once.
     """
     spark = docs.sparkSession
     known = known_licenses(spark) if known is None else known
@@ -120,11 +153,13 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", digest(F.col("text")))
     if few:
-        # Only lines that can be one are digested: those that name a licence or a right.
-        lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"(?i)licen[cs]e|permi|redistribut|warrant"))
+        lines = F.split("text", "\n")
         by_name = F.create_map(*[F.lit(x) for r in names for x in (r["digest"], r["license"])]) if names else None
         found = F.filter(F.transform(lines, lambda x: by_name[digest(x)]), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
         rows = rows.withColumn("notices", F.array_sort(F.array_distinct(found)))
     else:
-        rows = rows.withColumn("notices", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn("th", F.sha2("text", 256))
+        lines = rows.select("th", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("th", digest(F.col("line")).alias("digest")).distinct()
+        noted = lines.join(by_digest, "digest").groupBy("th").agg(F.array_sort(F.collect_set("license")).alias("notices"))
+        rows = rows.join(noted, "th", "left").withColumn("notices", F.coalesce("notices", F.array().cast("array<string>")))
     return rows.drop("text").join(F.broadcast(by_digest) if few else by_digest, "digest", "left").select("doc_id", "digest", "license", "notices")

@@ -312,6 +312,25 @@ def test_license_texts_are_found_in_other_dress(spark, empty):
     assert {r["doc_id"]: r["license"] for r in big.collect()} == {1: name, 2: None, 3: None, 4: None}
 
 
+def test_licenses_are_found_in_their_usual_form(spark):
+    """With a title, whole texts of the long licences, and lines of a caller's table that name no licence, for any size of table."""
+    from importlib import resources
+
+    known = dict(license_lookup.KNOWN[:6])
+    docs = {
+        1: ("MIT", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + known["MIT"]), 2: ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, X\nAll rights reserved.\n\n" + known["BSD-3-Clause"]),
+        **{i: (n, resources.files("gridloom.llm").joinpath("licenses", f"{n}.txt").read_text("utf-8")) for i, n in enumerate(license_lookup.FILES, 3)},
+    }
+    docs[50] = ("Apache-2.0", docs[3][1].split("APPENDIX")[0])
+    rows = spark.createDataFrame([(k, t) for k, (_, t) in docs.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["license"] for r in license_lookup.scan(rows).collect()} == {k: n for k, (n, _) in docs.items()}
+    own = spark.createDataFrame([("WTFPL", "Do what you want to."), ("B", "As you like it")], "license string, text string")
+    lines = spark.createDataFrame([(1, "x\nDo what you want to\nas you LIKE it!"), (1, "x\nDo what you want to\nas you LIKE it!"), (None, "y"), (2, None)], "doc_id long, text string")
+    for most in (100, 1):
+        found = license_lookup.scan(lines, own, most_known=most).collect()
+        assert sorted((str(r["doc_id"]), r["notices"]) for r in found) == [("1", ["B", "WTFPL"])] * 2 + [("2", []), ("None", [])]
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=1>Menu</a></ul></nav>
 <div class="cookie-notice">We use cookies.</div><div class="ad">Buy, now!</div><div id=wrap><article><h1>A   title</h1><p>First &amp; <b>bold</b>, long enough text.<br>Next
 line.<p>Short<script>var x="</p>";</script></article><aside>Related, things.</aside><section class="comments"><p>Nice, very nice article, I say.</p></section></div>
