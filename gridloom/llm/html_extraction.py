@@ -46,6 +46,8 @@ BOILERPLATE = re.compile(
     r"header|related|recommend\w*|more-stories|trending|popular|share|sharing|social|follow|tags|tag-list|toolbar|search|skip-link|skip|disclaimer|copyright|legal|paywall|outbrain|taboola|feedback)($|[\s_-])"
 )
 ARTICLE = re.compile(r"(?i)(^|[\s_-])(article|articlebody|article-body|post-content|entry-content|post-body|story-body|content-body|main-content|main)($|[\s_-])")
+#: Parts of a name that say how the page is laid out, not what the element is.
+LAYOUT = re.compile(r"(?i)(^|\s)(?:\S*[_-])?(has|no|with|without)-\S+|(^|\s)(article|entry|post|story|content)[_-]header(?=$|\s)|(^|\s)\S+[_-](wrap|wrapper|container|layout|inner|outer|row|grid|page)(?=$|\s)")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|itemprop|aria-hidden|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -59,6 +61,7 @@ class Node:
     out: bool = False  # inside something that is never part of an article
     marked: bool = False  # says that it holds the article
     chars: int = 0  # of content paths, below it
+    named: bool = False  # its class, id or role says that it is no part of an article, which what it holds may belie
 
 
 @dataclass
@@ -164,16 +167,45 @@ def parse(source: str) -> Page:
         article = tag in ("article", "main") or bool(ARTICLE.search(f"{names} {attributes.get('itemprop', '')}"))
         hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
         plain = tag not in ("html", "body", "article", "main") and not ("header" == tag and any(nodes[k].tag == "article" for k in stack))
-        out = above.out or tag in NEVER or hidden or plain and (tag == "header" or bool(BOILERPLATE.search(names)))
+        named = plain and tag not in NEVER and tag != "header" and bool(BOILERPLATE.search(names) and BOILERPLATE.search(LAYOUT.sub(" ", names)))
+        out = above.out or tag in NEVER or hidden or plain and tag == "header"
         # A comment often is an article in an article.
         out = out or tag == "article" and any(nodes[k].tag == "article" for k in stack)
         if not m[4].rstrip().endswith("/") or tag in BLOCK:
-            nodes.append(Node(tag, stack[-1], f"{above.path}/{tag}", out, article and not out))
+            nodes.append(Node(tag, stack[-1], f"{above.path}/{tag}", out, article and not out, named=named and not out))
             stack.append(len(nodes) - 1)
     close_block()
+    _leave_out_named(page)
     return page
 
 
+def _leave_out_named(page: Page, most: float = 0.5, some: float = 0.25) -> None:
+    """Leaves out the elements whose names say so. If no article stands outside of them, none goes that holds the longest
+    article, if that has some of the page's text; if there is no such article either, none that holds most of the text."""
+    nodes = page.nodes
+    weight = [0] * len(nodes)
+    for node, text, linked in page.texts:
+        if not nodes[node].out:
+            weight[node] += max(0, len(text) - 2 * linked)
+    for k in range(len(nodes) - 1, 0, -1):
+        weight[nodes[k].parent] += weight[k]
+    below = [False] * len(nodes)
+    for k in range(1, len(nodes)):
+        below[k] = nodes[k].named or below[nodes[k].parent]
+    articles = [k for k, x in enumerate(nodes) if x.tag in ("article", "main") and not x.out and weight[k]]
+    free = any(not below[k] for k in articles)
+    at = 0 if free else max((k for k in articles if weight[k] >= some * weight[0]), key=lambda k: weight[k], default=0)
+    whole = not free and not at
+    holds = {0}
+    while at:
+        holds.add(at)
+        at = nodes[at].parent
+    for k in range(1, len(nodes)):
+        x = nodes[k]
+        x.out = x.out or nodes[x.parent].out or x.named and k not in holds and not (whole and weight[k] > most * weight[0])
+        x.marked = x.marked and not x.out
+
+
 def ratios(page: Page, smooth: float = 1.0) -> dict[str, float]:
     """The fused, smoothed ratio of each tag path outside of what is left out."""
     chars: dict[str, int] = {}

@@ -352,6 +352,16 @@ def test_html_extraction_without_hints():
     assert html_extraction.main_text(page) == "\n\n".join(["Head", long.strip(), long.strip(), "Hm."])
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "site-content no-sidebar", "layout has-sidebar", "sidebar", "share-page"])
+def test_html_names_of_layout_keep_the_article(name):
+    long = "A sentence of some length, with commas, and more of it. " * 3
+    inside = f"<div class='article-header'><h1>Head</h1></div><p>{long}</p><p>{long}</p><div class='share'>Share this, now.</div>"
+    want = "\n\n".join(["Head", long.strip(), long.strip()])
+    assert html_extraction.main_text(f"<body><div class='{name}'><main>{inside}</main><div class='sidebar'><p>Other, things.</p></div></div></body>") == want
+    assert html_extraction.main_text(f"<body><div class='{name}'><div>{inside}</div></div><div class='menu'><p>Other, things.</p></div></body>") == want
+    assert html_extraction.main_text(f"<body><div>{inside}</div><div class='related'><article><p>Other, things.</p></article></div></body>") == want
+
+
 def test_pages_of_the_test_tables(spark):
     for r in queries.op1_tag_path_extraction(spark, "/root/testdata/sf0.001").collect():
         assert r["text"] and "&amp;" not in r["text"] and r["n_chars"] == len(r["text"])
