@@ -3,22 +3,24 @@
 A page's blocks of text are grouped by their path of tags from the root. For each path the characters and the
 punctuation of its blocks are added up and divided by the number of blocks: menus and captions share paths with many short blocks,
 an article's paragraphs share one with long, punctuated ones. Both ratios are smoothed over the paths in page order, fused into
-one by their product, and paths above a share of the spread are content. What encloses most of the content is then
-taken whole: the article's headings and short paragraphs belong to it, however low their own ratio. Parts
-that name themselves something else (menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out.
+one by their product, and the blocks on paths above a share of the spread are content. The innermost element that holds
+most of the content is the article, with its headings and short paragraphs, however low their own ratio (see `select`).
+Names only remove: elements that are never part of an article (menus, footers, asides, forms, scripts), and those whose
+class, id or role says so, unless they hold the article or most of the content.
 
 What happens in each case: null, empty and text-free pages give the empty text; markup that is cut off or not closed is
 read as far as it goes; a page without markup is one block; repeated rows are read each
 for itself; an empty table gives an empty result; null ids and urls are kept; further columns are ignored, whatever their names. Pages
-are read whole, in time proportional to their length.
+are read whole, in time and memory proportional to their length, however deep they nest or whatever is not closed.
 """
 
 from __future__ import annotations
 
 import html as html_library
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,152 +50,249 @@ BOILERPLATE = re.compile(
 ARTICLE = re.compile(r"(?i)(^|[\s_-])(article|articlebody|article-body|post-content|entry-content|post-body|story-body|content-body|main-content|main)($|[\s_-])")
 #: Parts of a name that say how the page is laid out, not what the element is.
 LAYOUT = re.compile(r"(?i)(^|\s)(?:\S*[_-])?(has|no|with|without)-\S+|(^|\s)(article|entry|post|story|content)[_-]header(?=$|\s)|(^|\s)\S+[_-](wrap|wrapper|container|layout|inner|outer|row|grid|page)(?=$|\s)")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|itemprop|aria-hidden|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*+(?:>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$)|[^\s>\"'][^\s>]*+)?)*+)(?:>|$)", re.S,
+)
+ATTRIBUTE = re.compile(r"(?i)(?<![^\s\"'/])(class|id|role|itemprop|aria-hidden|hidden|style)(?![^\s=/>])(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>][^\s>]*))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+#: Elements that hold running text, so that none of them is an article of its own.
+LEAVES = HEADINGS | frozenset("p pre li dt dd caption figcaption legend summary address tr td th option".split())
+#: Elements further down than this belong to the last one above it, as in browsers.
+DEEPEST = 512
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
-    path: str
+    path: int  # number of the tag path from the root
     out: bool = False  # inside something that is never part of an article
     marked: bool = False  # says that it holds the article
-    chars: int = 0  # of content paths, below it
     named: bool = False  # its class, id or role says that it is no part of an article, which what it holds may belie
 
 
+@dataclass(slots=True)
+class Block:
+    node: int
+    text: str
+    linked: int  # characters inside links
+
+    @property
+    def chars(self) -> int:
+        return max(0, len(self.text) - 2 * self.linked)
+
+
 @dataclass
 class Page:
     nodes: list[Node] = field(default_factory=list)
-    #: (node, text, characters of it inside links)
-    texts: list[tuple[int, str, int]] = field(default_factory=list)
+    blocks: list[Block] = field(default_factory=list)
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html_library.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(raw)} if raw.strip() else {}
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), html_library.unescape((m[2] or "").strip("\"'")))
+    return found
 
 
-def parse(source: str) -> Page:
-    """The tree of a page's block elements, and the text blocks of those in page order."""
-    page = Page([Node("", -1, "")])
-    nodes, stack, parts, linked, links = page.nodes, [0], [], 0, 0
-    at = 0
-
-    def close_block() -> None:
-        nonlocal parts, linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                page.texts.append((stack[-1], text, linked))
-            parts, linked = [], 0
-
-    def add(text: str) -> None:
-        nonlocal linked
+def _names_boilerplate(names: str) -> bool:
+    return bool(BOILERPLATE.search(names) and BOILERPLATE.search(LAYOUT.sub(" ", names)))
+
+
+class _Reader:
+    """Reads a page tag by tag: keeps the open block elements, and the text since the last bound of a block."""
+
+    def __init__(self) -> None:
+        self.page = Page([Node("", -1, 0)])
+        self.stack, self.open, self.paths = [0], {}, {}
+        self.parts, self.linked, self.in_link = [], 0, False
+        #: The inline element that is hidden or named, how deep it nests, whether it is hidden; letters in and out of such.
+        self.inline, self.depth, self.hidden, self.set_apart, self.plain = "", 0, False, 0, 0
+
+    @property
+    def top(self) -> Node:
+        return self.page.nodes[self.stack[-1]]
+
+    def text(self, text: str) -> None:
+        if self.top.out or self.inline and self.hidden:
+            return
         if "&" in text:
             text = html_library.unescape(text)
-        parts.append(text)
-        if links:
-            linked += len(text.strip())
+        self.parts.append(text)
+        n = len(text.strip())
+        if self.in_link:
+            self.linked += n
+        if self.inline:
+            self.set_apart += n
+        else:
+            self.plain += n
+
+    def close_block(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            # A block that is nothing but elements named otherwise (a span of sharing links) is none of the article's.
+            if text and (self.plain or not self.set_apart):
+                self.page.blocks.append(Block(self.stack[-1], text, self.linked))
+        self.parts, self.linked, self.inline, self.depth, self.set_apart, self.plain = [], 0, "", 0, 0, 0
 
-    def pop_to(names: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
+    def pop_to(self, names: tuple[str, ...], stops: tuple[str, ...] = ()) -> None:
+        """Ends the innermost open element of these names, unless one of the stops is met before."""
+        if not any(self.open.get(x) for x in names):
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            tag = self.page.nodes[self.stack[k]].tag
             if tag in names:
-                close_block()
-                del stack[k:]
+                self.close_block()
+                for gone in self.stack[k:]:
+                    self.open[self.page.nodes[gone].tag] -= 1
+                del self.stack[k:]
                 return
             if tag in stops:
                 return
 
-    end = len(source)
+    def end(self, tag: str) -> None:
+        if tag == self.inline:
+            self.depth -= 1
+            if not self.depth:
+                self.inline = ""
+        if tag == "a":
+            self.in_link = False
+        elif tag == "br" or tag == "p" and not self.open.get("p"):
+            self.parts.append(" ")
+        elif tag in BLOCK or tag in NEVER:
+            self.pop_to((tag,))
+
+    def begin(self, tag: str, raw: str) -> None:
+        if tag in VOID:
+            if tag == "hr":
+                self.pop_to(("p",), ("body", "article", "div", "section", "td", "li"))
+                self.close_block()
+            elif tag == "br":
+                self.text(" ")
+            return
+        if tag == "a":
+            self.in_link = True
+        if tag not in BLOCK and tag not in NEVER:
+            self.begin_inline(tag, raw)
+            return
+        if tag in ENDS_P:
+            self.pop_to(("p",), ("td", "th", "li", "div", "section", "article", "table", "body", "blockquote"))
+        if tag in ENDS_BEFORE:
+            self.pop_to(ENDS_BEFORE[tag], STOPS[tag])
+        self.close_block()
+        if len(self.stack) >= DEEPEST:
+            return
+        above = self.top
+        attributes = _attributes(raw) if raw else {}
+        names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}"
+        article = tag in ("article", "main") or bool(ARTICLE.search(f"{names} {attributes.get('itemprop', '')}"))
+        plain = tag not in ("html", "body", "article", "main") and not (tag == "header" and self.open.get("article"))
+        named = plain and tag not in NEVER and tag != "header" and _names_boilerplate(names)
+        # A comment often is an article in an article.
+        out = above.out or tag in NEVER or _is_hidden(attributes) or plain and tag == "header" or tag == "article" and bool(self.open.get("article"))
+        path = self.paths.setdefault((above.path, tag), len(self.paths) + 1)
+        self.page.nodes.append(Node(tag, self.stack[-1], path, out, article and not out, named and not out))
+        self.stack.append(len(self.page.nodes) - 1)
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def begin_inline(self, tag: str, raw: str) -> None:
+        if raw.rstrip().endswith("/"):
+            return
+        if self.inline:
+            self.depth += tag == self.inline
+            return
+        attributes = _attributes(raw) if raw else {}
+        hidden = _is_hidden(attributes)
+        if hidden or attributes and tag not in ("a", "b", "i", "em", "strong") and _names_boilerplate(f"{attributes.get('class', '')} {attributes.get('id', '')}"):
+            self.inline, self.depth, self.hidden = tag, 1, hidden
+
+
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def parse(source: str) -> Page:
+    """The tree of a page's block elements, and the blocks of text of those in page order."""
+    reader, at, end = _Reader(), 0, len(source)
     while at < end:
         m = TOKEN.search(source, at)
         start = m.start() if m else end
-        if start > at and not nodes[stack[-1]].out:
-            add(source[at:start])
+        if start > at:
+            reader.text(source[at:start])
         if not m:
             break
         at = max(m.end(), start + 1)
-        if m[1] is not None and not nodes[stack[-1]].out:
-            add(m[1])
+        if m[1] is not None:
+            reader.text(m[1])
         if m[3] is None:
             continue
         tag = m[3].lower()
         if m[2]:
-            if tag == "a":
-                links = 0
-            elif tag == "br" or tag == "p" and not any(nodes[k].tag == "p" for k in stack):
-                parts.append(" ")
-            elif tag in BLOCK or tag in NEVER:
-                if any(nodes[k].tag == tag for k in stack[1:]):
-                    pop_to((tag,), ())
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                pop_to(("p",), ("body", "article", "div", "section", "td", "li"))
-                close_block()
-            elif not nodes[stack[-1]].out:
-                parts.append(" " if tag in ("br", "wbr") and tag == "br" else "")
-            continue
-        if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
+            reader.end(tag)
+        elif tag in RAW:
+            stop = _end_of(tag).search(source, at)
             at = stop.end() if stop else end
-            continue
-        if tag == "a":
-            links = 1
-        if tag not in BLOCK and tag not in NEVER:
-            attributes = _attributes(m[4]) if m[4] and not m[4].rstrip().endswith("/") else {}
-            if "hidden" not in attributes and not BOILERPLATE.search(f"{attributes.get('class', '')} {attributes.get('id', '')}") or tag in ("a", "b", "i", "em", "strong"):
-                continue
-            # An inline element that is set apart is read as a block of its own that is left out.
-            nested, pos = 1, at
-            for t in re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>", re.I).finditer(source, at):
-                nested += -1 if t[1] else 1
-                pos = t.end()
-                if not nested:
-                    break
-            at = pos if not nested else at
-            continue
-        if tag in ENDS_P:
-            pop_to(("p",), ("td", "th", "li", "div", "section", "article", "table", "body", "blockquote"))
-        if tag in ENDS_BEFORE:
-            pop_to(ENDS_BEFORE[tag], STOPS[tag])
-        close_block()
-        above = nodes[stack[-1]]
-        attributes = _attributes(m[4]) if m[4] else {}
-        names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}"
-        article = tag in ("article", "main") or bool(ARTICLE.search(f"{names} {attributes.get('itemprop', '')}"))
-        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-        plain = tag not in ("html", "body", "article", "main") and not ("header" == tag and any(nodes[k].tag == "article" for k in stack))
-        named = plain and tag not in NEVER and tag != "header" and bool(BOILERPLATE.search(names) and BOILERPLATE.search(LAYOUT.sub(" ", names)))
-        out = above.out or tag in NEVER or hidden or plain and tag == "header"
-        # A comment often is an article in an article.
-        out = out or tag == "article" and any(nodes[k].tag == "article" for k in stack)
-        if not m[4].rstrip().endswith("/") or tag in BLOCK:
-            nodes.append(Node(tag, stack[-1], f"{above.path}/{tag}", out, article and not out, named=named and not out))
-            stack.append(len(nodes) - 1)
-    close_block()
-    _leave_out_named(page)
-    return page
-
-
-def _leave_out_named(page: Page, most: float = 0.5, some: float = 0.25) -> None:
-    """Leaves out the elements whose names say so. If no article stands outside of them, none goes that holds the longest
-    article, if that has some of the page's text; if there is no such article either, none that holds most of the text."""
+        else:
+            reader.begin(tag, m[4])
+    reader.close_block()
+    return reader.page
+
+
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>?", re.I)
+
+
+def ratios(page: Page, smooth: float = 1.0) -> dict[int, float]:
+    """The fused, smoothed ratio of each tag path outside of what is never part of an article."""
+    chars: dict[int, int] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, int] = {}
+    for b in page.blocks:
+        path = page.nodes[b.node].path
+        chars[path] = chars.get(path, 0) + b.chars
+        marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(b.text))
+        count[path] = count.get(path, 0) + 1
+    paths = list(chars)
+    n = np.array([count[p] for p in paths], float)
+    by_chars, by_marks = np.array([chars[p] for p in paths]) / n, np.array([marks[p] for p in paths]) / n
+    if len(paths) > 1:
+        window = np.exp(-0.5 * (np.arange(-2, 3) / smooth) ** 2)
+        window /= window.sum()
+        by_chars, by_marks = (0.8 * x + 0.2 * np.convolve(np.pad(x, 2, mode="edge"), window, "valid") for x in (by_chars, by_marks))
+    return dict(zip(paths, (by_chars * (1 + by_marks)).tolist(), strict=True))
+
+
+def content_paths(page: Page, spread: float = 0.5) -> set[int]:
+    """The paths whose fused ratio reaches the threshold: a share of the ratios' spread."""
+    fused = ratios(page)
+    values = np.array(list(fused.values()))
+    return {p for p, v in fused.items() if v >= min(spread * values.std(), values.max())} if fused else set()
+
+
+def _below(page: Page, weights: Iterable[tuple[int, int]]) -> list[int]:
+    """What each element weighs with all that it holds, by the (element, weight) of each block."""
+    weight = [0] * len(page.nodes)
+    for k, n in weights:
+        weight[k] += n
+    for k in range(len(weight) - 1, 0, -1):
+        weight[page.nodes[k].parent] += weight[k]
+    return weight
+
+
+def _leave_out_named(page: Page, weight: list[int], most: float = 0.5, some: float = 0.25) -> None:
+    """Leaves out the elements whose names say so, by what content they hold. If no article stands outside of them, none
+    goes that holds the longest article, if that has some of the content; if there is no such article either, none that
+    holds most of the content."""
     nodes = page.nodes
-    weight = [0] * len(nodes)
-    for node, text, linked in page.texts:
-        if not nodes[node].out:
-            weight[node] += max(0, len(text) - 2 * linked)
-    for k in range(len(nodes) - 1, 0, -1):
-        weight[nodes[k].parent] += weight[k]
     below = [False] * len(nodes)
     for k in range(1, len(nodes)):
         below[k] = nodes[k].named or below[nodes[k].parent]
-    articles = [k for k, x in enumerate(nodes) if x.tag in ("article", "main") and not x.out and weight[k]]
-    free = any(not below[k] for k in articles)
+    articles = [k for k, x in enumerate(nodes) if x.tag in ("article", "main") and not x.out]
+    texts = _below(page, ((b.node, len(b.text)) for b in page.blocks))
+    free = any(texts[k] and not below[k] for k in articles)
     at = 0 if free else max((k for k in articles if weight[k] >= some * weight[0]), key=lambda k: weight[k], default=0)
     whole = not free and not at
     holds = {0}
@@ -206,67 +305,59 @@ def _leave_out_named(page: Page, most: float = 0.5, some: float = 0.25) -> None:
         x.marked = x.marked and not x.out
 
 
-def ratios(page: Page, smooth: float = 1.0) -> dict[str, float]:
-    """The fused, smoothed ratio of each tag path outside of what is left out."""
-    chars: dict[str, int] = {}
-    marks: dict[str, int] = {}
-    count: dict[str, int] = {}
-    for node, text, linked in page.texts:
-        if not page.nodes[node].out:
-            path = page.nodes[node].path
-            chars[path] = chars.get(path, 0) + max(0, len(text) - 2 * linked)
-            marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(text))
-            count[path] = count.get(path, 0) + 1
-    paths = list(chars)
-    n = np.array([count[p] for p in paths], float)
-    by_chars, by_marks = np.array([chars[p] for p in paths]) / n, np.array([marks[p] for p in paths]) / n
-    if len(paths) > 1:
-        window = np.exp(-0.5 * (np.arange(-2, 3) / smooth) ** 2)
-        window /= window.sum()
-        by_chars, by_marks = (0.8 * x + 0.2 * np.convolve(np.pad(x, 2, mode="edge"), window, "valid") for x in (by_chars, by_marks))
-    return dict(zip(paths, by_chars * (1 + by_marks), strict=True))
+def select(page: Page, spread: float = 0.5, cover: float = 0.7) -> list[Block]:
+    """The blocks of a page's article, in page order.
+
+    Content are the blocks whose path reaches the threshold. Around them the article is the innermost element, but none of
+    running text, that holds `cover` of the content's characters. Of what it holds all blocks are the article's but
+    lists of links that no content surrounds: before its first content or heading, or after its last content and not
+    beside any. Elements elsewhere that hold content on the same paths, as much in a block on average as the threshold
+    asks of a path, are further parts of it.
+    """
+    nodes, paths = page.nodes, content_paths(page, spread)
+    content = [b for b in page.blocks if nodes[b.node].path in paths]
+    _leave_out_named(page, _below(page, ((b.node, b.chars) for b in content)))
+    found = [b for b in page.blocks if not nodes[b.node].out]
+    content = [b for b in found if nodes[b.node].path in paths] or found
+    weight = _below(page, ((b.node, b.chars) for b in content))
+    root = max((k for k, x in enumerate(nodes) if x.tag not in LEAVES and weight[k] >= cover * weight[0]), default=0)
+    roots = {root}
+    main = {nodes[b.node].path for b in content if _lies_in(page, b.node, roots)}
+    #: Of each element outside that directly holds blocks on those paths: how many, and their characters.
+    further: dict[int, list[int]] = {}
+    for b in content:
+        if nodes[b.node].path in main and not _lies_in(page, b.node, roots):
+            up = nodes[b.node].parent if nodes[b.node].tag in LEAVES else b.node
+            further.setdefault(up, []).append(b.chars)
+    typical = weight[root] / max(1, sum(_lies_in(page, b.node, roots) for b in content))
+    roots |= {k for k, chars in further.items() if k and sum(chars) / len(chars) >= spread * typical}
+    kept = [b for b in found if _lies_in(page, b.node, roots)]
+    ids = {id(b) for b in content}
+    at = [k for k, b in enumerate(kept) if id(b) in ids]
+    first = min((k for k, b in enumerate(kept) if id(b) in ids or nodes[b.node].tag in HEADINGS), default=0)
+    last, beside = max(at, default=len(kept)), {nodes[b.node].parent for b in content}
+    lists: dict[int, list[int]] = {}
+    for b in kept:
+        if nodes[b.node].tag == "li":
+            n = lists.setdefault(nodes[b.node].parent, [0, 0])
+            n[0] += len(b.text)
+            n[1] += b.linked
+    menus = {k for k, (chars, linked) in lists.items() if linked > 0.8 * chars}
+    is_menu = lambda k, b: nodes[b.node].tag == "li" and nodes[b.node].parent in menus and (k < first or k > last and nodes[nodes[b.node].parent].parent not in beside)
+    return [b for k, b in enumerate(kept) if not is_menu(k, b)]
+
+
+def _lies_in(page: Page, k: int, roots: set[int]) -> bool:
+    while k >= 0:
+        if k in roots:
+            return True
+        k = page.nodes[k].parent
+    return False
 
 
 def main_text(source: str | None, spread: float = 0.5, cover: float = 0.7) -> str:
     """The main text of one page: its blocks, joined by blank lines."""
-    if not source or not source.strip():
-        return ""
-    page = parse(source)
-    inside = [(node, text, linked) for node, text, linked in page.texts if not page.nodes[node].out]
-    if not inside:
-        return ""
-    fused = ratios(page)
-    values = np.array(list(fused.values()))
-    cut = min(spread * values.std(), values.max())
-    content = {p for p, v in fused.items() if v >= cut}
-    for node, text, linked in inside:
-        if page.nodes[node].path in content:
-            weight, k = max(0, len(text) - 2 * linked), node
-            while k >= 0:
-                page.nodes[k].chars += weight
-                k = page.nodes[k].parent
-    marked = [k for k, x in enumerate(page.nodes) if x.marked and x.chars]
-    if marked:
-        # Of the elements that say so, the one with the most content; of one in another, the inner if it has most of it.
-        root = max(marked, key=lambda k: (page.nodes[k].chars, -k))
-        inner = [k for k in marked if k > root and page.nodes[k].tag in ("article",) and page.nodes[k].chars >= cover * page.nodes[root].chars]
-        root = inner[-1] if inner else root
-    else:
-        root = max((k for k, x in enumerate(page.nodes) if x.chars >= cover * page.nodes[0].chars), default=0)
-    within = {root}
-    for k in range(root + 1, len(page.nodes)):
-        if page.nodes[k].parent in within:
-            within.add(k)
-    kept = [(node, text, linked) for node, text, linked in inside if node in within]
-    # Blocks of links alone, in a list, are a menu that doesn't say so.
-    menu = {}
-    for node, text, linked in kept:
-        if page.nodes[node].tag == "li":
-            up = page.nodes[node].parent
-            a, b = menu.get(up, (0, 0))
-            menu[up] = (a + len(text), b + linked)
-    menus = {k for k, (a, b) in menu.items() if b > 0.8 * a}
-    return "\n\n".join(text for node, text, _ in kept if page.nodes[node].parent not in menus or page.nodes[node].tag != "li")
+    return "\n\n".join(b.text for b in select(parse(source), spread, cover)) if source and source.strip() else ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

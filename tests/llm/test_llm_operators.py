@@ -362,6 +362,51 @@ def test_html_names_of_layout_keep_the_article(name):
     assert html_extraction.main_text(f"<body><div>{inside}</div><div class='related'><article><p>Other, things.</p></article></div></body>") == want
 
 
+LONG = "A sentence of some length, with commas, and more of it. " * 3
+PARAGRAPHS, PLAIN = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>", "\n\n".join(["Head", LONG.strip(), LONG.strip()])
+
+
+@pytest.mark.parametrize("name", ["class='content with-sidebar'", "class='legal-analysis'", "id='search-results-study'"])
+def test_html_names_never_drop_most_of_the_content(name):
+    assert html_extraction.main_text(f"<body><nav><a>x</a></nav><div {name}>{PARAGRAPHS}</div><footer>c</footer></body>") == PLAIN
+
+
+def test_html_attributes_and_inline_names():
+    page = f"<article><h1>Head</h1><p title=it's>{LONG}</p><p>Don't <span class='notice'>stop</span> here.</p><p class=x>{LONG}</p><ul><li><a href=1>Ref one</a><li><a href=2>Ref two</a></ul><p><span class=share>Share it</span></p></article>"
+    assert html_extraction.main_text(page) == "\n\n".join(["Head", LONG.strip(), "Don't stop here.", LONG.strip(), "Ref one", "Ref two"])
+    assert html_extraction.main_text(f"<div><p>{LONG}</p><p>Seen <span style='display: none'>not</span> here</p></div>") == f"{LONG.strip()}\n\nSeen here"
+
+
+def test_html_ratios_decide(monkeypatch):
+    """The article is where the paths of long, punctuated blocks are: the same page with flat ratios gives another text."""
+    entries = "".join(f"<td>entry {i} of the table of all places and names</td>" for i in range(40))
+    page = f"<body><table><tr>{entries}</tr></table><div><div>{PARAGRAPHS}</div></div></body>"
+    assert html_extraction.main_text(page) == PLAIN
+    monkeypatch.setattr(html_extraction, "ratios", lambda page: {page.nodes[b.node].path: 1.0 for b in page.blocks})
+    assert html_extraction.main_text(page) != PLAIN
+
+
+def test_html_keeps_all_parts_of_an_article():
+    parts = f"<div>{PARAGRAPHS}<p>{LONG * 2}</p></div><div><p>{LONG}</p></div>"
+    assert html_extraction.main_text(f"<body><div><ul><li><a>One</a><li><a>Two</a></ul></div><div>{parts}</div><div><p>Short line.</p></div></body>") == f"{PLAIN}\n\n{(LONG * 2).strip()}\n\n{LONG.strip()}"
+    assert html_extraction.main_text(f"<body><div><p>{LONG * 5}</p><p>Short.</p></div></body>") == f"{(LONG * 5).strip()}\n\nShort."
+
+
+@pytest.mark.parametrize("piece", ['<span class="ad">x', "<div>x", "<td>x", "<ul><li>x", '<a href="x', "<p a='", "<b =", "<table><tr><td></td>", "</p>", "<!--", "<p>x</p><li>"])
+def test_html_takes_time_in_proportion(piece):
+    import time
+
+    began = time.process_time()
+    html_extraction.main_text(piece * 20_000)
+    assert time.process_time() - began < 3
+
+
+def test_html_tables(spark, empty):
+    pages = spark.createDataFrame([(1, "u", PAGE, "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    row = html_extraction.extract(pages).first()
+    assert row["n_chars"] == len(row["text"]) and html_extraction.extract(pages.limit(0)).count() == 0
+
+
 def test_pages_of_the_test_tables(spark):
     for r in queries.op1_tag_path_extraction(spark, "/root/testdata/sf0.001").collect():
         assert r["text"] and "&amp;" not in r["text"] and r["n_chars"] == len(r["text"])
