@@ -4,7 +4,9 @@ An Aho-Corasick automaton lists the vocabulary's pieces that end at each positio
 carries, for each position, the best score and the number of pieces on the best way there; no piece and no way is
 stored. Ties go as in the tokenizers library: ways are tried from the earliest start on, and only a strictly higher
 score replaces one. A character that is no piece costs the lowest score less 10 and counts as its bytes (byte
-fallback). Chunks are the text cut before each blank, which is written as U+2581, as that library's Metaspace step.
+fallback); if the unknown piece itself is written in a text, it counts as its bytes beside such characters, and as one
+piece alone. Chunks are the text cut before each blank, which is written as U+2581, as that library's Metaspace step,
+so that a U+2581 in a text is a blank.
 
 What happens in each case: null and empty texts have 0 tokens; a text of blanks only has one chunk a blank; repeated
 rows are counted each for itself; an empty table gives an empty result; a null doc_id is kept; further columns are
@@ -42,7 +44,7 @@ def vocabulary(model_path: str) -> list[tuple[str, float]]:
 
 
 class CountingViterbi:
-    def __init__(self, vocab: list[tuple[str, float]]):
+    def __init__(self, vocab: list[tuple[str, float]], unknown_id: int = 0):
         pieces: dict[str, float] = {}
         for piece, score in vocab:
             pieces.setdefault(piece, score)
@@ -53,6 +55,8 @@ class CountingViterbi:
         self.symbol[list(map(ord, alphabet))] = np.arange(1, len(alphabet) + 1)
         self.ends = Automaton([tuple(self.symbol[list(map(ord, p))].tolist()) for p in pieces], len(alphabet) + 1)
         self.scores = np.array(list(pieces.values()))
+        #: The unknown piece's number and bytes: written out in a text, it is one more unknown part.
+        self.unknown_piece, self.unknown_bytes = list(pieces).index(vocab[unknown_id][0]), len(vocab[unknown_id][0].encode())
         self.counts: dict[str, int] = {}
 
     def count_chunks(self, chunks: list[str]) -> list[int]:
@@ -70,29 +74,40 @@ class CountingViterbi:
         rank, lengths, code = by_length(codes)
         symbol = self.symbol[code]
         width = (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)).astype(np.int64)
-        score, count = np.zeros((len(code) + 1, len(chunks))), np.zeros((len(code) + 1, len(chunks)), np.int64)
+        shape = (len(code) + 1, len(chunks))
+        #: By prefix: the best score; the pieces before the unknown parts at its end; the bytes of those, which the library
+        #: takes together; the pieces with those, where the unknown piece on its own is one.
+        score, before, run, count = np.zeros(shape), np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
         state = np.zeros(len(chunks), np.int32)
         for end in range(1, len(code) + 1):
             k = np.searchsorted(-lengths, -end, side="right")  # the chunks that reach so far
             state = self.ends.step(state[:k], symbol[end - 1, :k])
-            best, pieces, single = np.full(k, -np.inf), np.zeros(k, np.int64), np.zeros(k, bool)
+            best, pieces, single, written = np.full(k, -np.inf), np.zeros(k, np.int64), np.zeros(k, bool), np.zeros(k, bool)
             for rows, tokens in self.ends.ends(state):  # the earliest start first
                 size = self.ends.length[tokens]
                 way = self.scores[tokens] + score[end - size, rows]
                 single[rows[size == 1]] = True
                 better = way > best[rows]
-                rows, at = rows[better], (end - size)[better]
-                best[rows], pieces[rows] = way[better], count[at, rows] + 1
+                rows, at, tokens = rows[better], (end - size)[better], tokens[better]
+                best[rows], pieces[rows], written[rows] = way[better], count[at, rows] + 1, tokens == self.unknown_piece
             way = self.unknown + score[end - 1, :k]
             better = ~single & (way > best)
             score[end, :k] = np.where(better, way, best)
-            count[end, :k] = np.where(better, count[end - 1, :k] + width[end - 1, :k], pieces)
+            before[end, :k] = np.where(better, before[end - 1, :k], pieces)
+            run[end, :k] = np.where(better, run[end - 1, :k] + width[end - 1, :k], 0)
+            count[end, :k] = before[end, :k] + run[end, :k]
+            rows = np.flatnonzero(written & ~better)
+            if len(rows):
+                at = end - int(self.ends.length[self.unknown_piece])
+                before[end, rows], run[end, rows] = before[at, rows], run[at, rows] + self.unknown_bytes
+                count[end, rows] = before[at, rows] + np.where(run[at, rows] > 0, run[end, rows], 1)
         out = np.zeros(len(chunks), np.int64)
         out[rank] = count[lengths, np.arange(len(chunks))]
         return out
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of pieces of each text."""
+        texts = [t.replace(BLANK, " ") for t in texts]
         split = [[BLANK + c for c in (t[1:] if t.startswith(" ") else t).split(" ")] if t else [] for t in texts]
         new = list({c for chunks in split for c in chunks}.difference(self.counts))
         if len(self.counts) + len(new) > MOST_KEPT:

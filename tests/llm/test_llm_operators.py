@@ -117,6 +117,17 @@ def test_token_counts_equal_the_library(odd):
         assert r["n_tokens"] == len(library.encode(texts[r["doc_id"]]).ids) and r["n_chars"] == len(texts[r["doc_id"]])
 
 
+def test_token_counts_of_random_texts_equal_the_library():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab, rng = token_counts.vocabulary(queries.tokenizer_file("piece_bpe_32k.model")), random.Random(8)
+    library = Tokenizer(models.Unigram(vocab, 0, True))
+    library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    parts = ["a", "dt", "ß", "<unk>", "<s>", "</s>", "<0x41>", "▁", "▁▁", " ", "\n", "日", "😀", "the", "ﬀ", "<0x", "<unk", "unk>", "word ", "🏽", "\u200d", "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
+    assert token_counts.CountingViterbi(vocab).count(texts) == [len(e.ids) for e in library.encode_batch(texts)]
+
+
 def test_token_count_ties_go_to_the_longer_piece():
     vocab = [("<unk>", -9.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁ab", -4.0)]
     assert token_counts.CountingViterbi(vocab).count(["ab", "", "abab"]) == [2, 0, 3]
