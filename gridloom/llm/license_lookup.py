@@ -2,9 +2,9 @@
 
 A text is made canonical: letters A-Z to lower case, lines that state a copyright out, equivalent spellings to one,
 everything but letters and digits to one blank. The SHA-256 of that is looked up among the digests of known licence
-texts by a broadcast hash join; the known table has a row for each form of a licence (with and without its title or what
+texts by a hash join; the known table has a row for each form of a licence (with and without its title or what
 follows its terms), fixed in this file and the folder `licenses` or given by the caller.
-Besides whole texts, single lines are looked up, as a short notice is a text of its own.
+Besides whole texts, every single line is looked up in the same way, as a short notice is a text of its own.
 
 What happens in each case: null text counts as the empty text; a text without letters or digits has the digest of the
 empty text, which is no licence; repeated rows are looked up each for itself; a licence known by several names takes
@@ -120,16 +120,16 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     out = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     out = F.regexp_replace(out, COPYRIGHT_LINE, "")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, OTHER, " "), F.lit(" "))
-    out = F.regexp_replace(out, " +", " ")
+    # Every word has a blank of its own on either side, so that a word that comes again is found again.
+    out = F.concat(F.lit(" "), F.regexp_replace(F.trim(F.regexp_replace(out, OTHER, " ")), " +", "  "), F.lit(" "))
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
-    """The lower-case hexadecimal SHA-256 of the canonical form."""
-    return F.sha2(canonical(text), 256)
+    """The lower-case hexadecimal SHA-256 of the canonical form. Never null, or a join would compute it twice to see that."""
+    return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -138,28 +138,20 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", most_known: int = 10_000) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, license, notices): the digest of the whole text, the licence whose text it is (or null), and
     the licences and notices that single lines of it are, sorted.
 
-    known: (license, text) rows; more than most_known distinct digests are joined by a shuffle instead of a broadcast, and
-    so are the lines' digests, of each distinct text once.
+    known: (license, text) rows, of any number: texts and lines are joined to them by their digests. Only the lines that
+    are known go further, and only digests meet again.
     """
-    spark = docs.sparkSession
-    known = known_licenses(spark) if known is None else known
+    known = known_licenses(docs.sparkSession) if known is None else known
     by_digest = known.select(digest(F.col("text")).alias("digest"), F.col("license")).groupBy("digest").agg(F.min("license").alias("license"))
-    names = by_digest.limit(most_known + 1).collect()  # a table of a stated size, not of the corpus
-    few = len(names) <= most_known
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", digest(F.col("text")))
-    if few:
-        lines = F.split("text", "\n")
-        by_name = F.create_map(*[F.lit(x) for r in names for x in (r["digest"], r["license"])]) if names else None
-        found = F.filter(F.transform(lines, lambda x: by_name[digest(x)]), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
-        rows = rows.withColumn("notices", F.array_sort(F.array_distinct(found)))
-    else:
-        rows = rows.withColumn("th", F.sha2("text", 256))
-        lines = rows.select("th", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select("th", digest(F.col("line")).alias("digest")).distinct()
-        noted = lines.join(by_digest, "digest").groupBy("th").agg(F.array_sort(F.collect_set("license")).alias("notices"))
-        rows = rows.join(noted, "th", "left").withColumn("notices", F.coalesce("notices", F.array().cast("array<string>")))
-    return rows.drop("text").join(F.broadcast(by_digest) if few else by_digest, "digest", "left").select("doc_id", "digest", "license", "notices")
+    whole = rows.select("doc_id", digest(F.col("text")).alias("digest"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("th"))
+    lines = rows.select(F.coalesce(F.sha2("text", 256), F.lit("")).alias("th"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    noted = lines.select("th", digest(F.col("line")).alias("digest")).join(by_digest, "digest")
+    noted = noted.groupBy("th").agg(F.array_sort(F.collect_set("license")).alias("notices"))
+    # By sorting, as nothing bounds how many texts have such lines; a frequent text is one row on the right.
+    found = whole.join(by_digest, "digest", "left").join(noted.hint("merge"), "th", "left")
+    return found.select("doc_id", "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

@@ -90,13 +90,24 @@ def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _words(x: str) -> str:
+    """DuckDB's SQL for the canonical form of x, as a list of words: written by itself, apart from the operator's steps."""
+    stated = "(?m)^[ \\t*#/;-]*(?:(?:portions )?copyright[ \\t:,]*(?:\\(c\\)|©|<|\\[|[12]\\d\\d\\d|by )|(?:\\(c\\)|©)[ \\t]*[a-z0-9<]|all rights reserved).*$"
+    letters = "[a-z0-9\\x{80}-\\x{9F}\\x{A1}-\\x{A8}\\x{AA}-\\x{AD}\\x{AF}-\\x{200F}\\x{2028}-\\x{202F}\\x{205F}-\\x{2FFF}\\x{3001}-\\x{10FFFF}]+"
+    small = f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all(regexp_replace({small}, {_text(stated)}, '', 'g'), {_text(letters)})"
+
+
 def _canonical(x: str) -> str:
-    out = f"translate(coalesce({x}, ''), '{license_lookup.UPPER}', '{license_lookup.LOWER}')"
-    out = f"regexp_replace({out}, {_text(license_lookup.COPYRIGHT_LINE)}, '', 'g')"
-    out = f"regexp_replace(' ' || regexp_replace({out}, {_text(license_lookup.OTHER)}, ' ', 'g') || ' ', ' +', ' ', 'g')"
-    for old, new in license_lookup.SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out})"
+    return f"""array_to_string(string_split(replace(replace(replace(replace(replace('#' || array_to_string(list_transform({_words(x)}, lambda w: CASE
+        WHEN w IN ('licence', 'licences', 'licenced', 'sublicence') THEN replace(w, 'licence', 'license')
+        WHEN w IN ('authorisation', 'authorised', 'organisation', 'initialise', 'recognise') THEN replace(w, 'is', 'iz')
+        WHEN w IN ('behaviour', 'favour', 'labour') THEN replace(w, 'our', 'or')
+        WHEN w = 'acknowledgement' THEN 'acknowledgment' WHEN w = 'centre' THEN 'center' WHEN w = 'fulfil' THEN 'fulfill'
+        WHEN w = 'merchantibility' THEN 'merchantability' WHEN w = 'noncommercial' THEN 'non#,#commercial' WHEN w = 'whilst' THEN 'while'
+        WHEN w = 'wilful' THEN 'willful' WHEN w = 'https' THEN 'http' ELSE w END), '#,#') || '#',
+        '#sub#,#license#', '#sublicense#'), '#redistribution#,#s#', '#redistributions#'),
+        '#copyright#,#holder#', '#copyright#,#owner#'), '#copyright#,#holders#', '#copyright#,#owners#'), '#', ''), ','), ' ')"""
 
 
 _KNOWN = ", ".join(f"({_text(name)}, {_text(text)})" for name, text in license_lookup.KNOWN)
@@ -105,9 +116,11 @@ ORACLES = {
         WITH v AS (
             SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
             FROM embeddings WHERE embedding IS NOT NULL
+        ), asked AS (
+            SELECT DISTINCT id, v FROM v WHERE id % 50 = 0
         ), scored AS (
             SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.id % 50 = 0 AND q.id <> c.id
+            FROM asked q JOIN v c ON q.id <> c.id
         ), ranked AS (
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
         )
@@ -118,7 +131,7 @@ ORACLES = {
         ), lines AS (
             SELECT DISTINCT doc_id, k.license FROM (
                 SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
-            ) l JOIN known k ON regexp_matches(l.line, '(?i)licen[cs]e|permi|redistribut|warrant') AND sha256({_canonical("l.line")}) = k.digest
+            ) l JOIN known k ON sha256({_canonical("l.line")}) = k.digest
         ), noted AS (
             SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices FROM lines GROUP BY doc_id
         ), scanned AS (

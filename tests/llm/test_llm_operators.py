@@ -319,8 +319,14 @@ def test_license_texts_are_found_in_other_dress(spark, empty):
     assert found[1]["license"] == name and found[2]["license"] is None and found[3]["license"] is None and found[3]["notices"] == []
     assert found[4]["notices"] == ["MIT-notice"] and found[4]["license"] is None
     assert license_lookup.scan(empty).count() == 0
-    big = license_lookup.scan(docs, license_lookup.known_licenses(spark), most_known=1)
-    assert {r["doc_id"]: r["license"] for r in big.collect()} == {1: name, 2: None, 3: None, 4: None}
+
+
+def test_license_spellings_and_lines(spark):
+    """A word that comes again is spelled anew each time; a line of any words is found; rows may repeat and lack an id."""
+    known = spark.createDataFrame([("L", "license license sublicense sublicense"), ("W", "All wrongs reversed.")], "license string, text string")
+    rows = [(1, "licence licence sub-licence sub licence", 5, "x"), (2, "a\nall WRONGS reversed", 5, "x"), (2, "a\nall WRONGS reversed", 5, "x"), (None, "all wrongs reversed", 5, "x"), (3, "word " * 200_000, 5, "x")]
+    found = license_lookup.scan(spark.createDataFrame(rows, "doc_id long, text string, digest int, license string"), known).collect()
+    assert sorted((str(r["doc_id"]), str(r["license"]), r["notices"]) for r in found) == [("1", "L", ["L"]), ("2", "None", ["W"]), ("2", "None", ["W"]), ("3", "None", []), ("None", "W", ["W"])]
 
 
 def test_licenses_are_found_in_their_usual_form(spark):
@@ -337,8 +343,8 @@ def test_licenses_are_found_in_their_usual_form(spark):
     assert {r["doc_id"]: r["license"] for r in license_lookup.scan(rows).collect()} == {k: n for k, (n, _) in docs.items()}
     own = spark.createDataFrame([("WTFPL", "Do what you want to."), ("B", "As you like it")], "license string, text string")
     lines = spark.createDataFrame([(1, "x\nDo what you want to\nas you LIKE it!"), (1, "x\nDo what you want to\nas you LIKE it!"), (None, "y"), (2, None)], "doc_id long, text string")
-    for most in (100, 1):
-        found = license_lookup.scan(lines, own, most_known=most).collect()
+    for table_of in (own, own.repartition(3)):
+        found = license_lookup.scan(lines, table_of).collect()
         assert sorted((str(r["doc_id"]), r["notices"]) for r in found) == [("1", ["B", "WTFPL"])] * 2 + [("2", []), ("None", [])]
 
 
