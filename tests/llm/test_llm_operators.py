@@ -300,17 +300,42 @@ def test_numerals_are_no_letters():
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(v) for v in np.round(rng.normal(size=8), 1)], "c") for i in range(120)]
-    rows += [(200, None, "c"), (250, [float("nan")] * 8, "c"), (300, [1.0, None] * 4, "c"), (None, [1.0] * 8, "c"), (350, [1.0] * 3, "c"), rows[7], (400, rows[0][1], "c")]
+    rows += [(200, None, "c"), (250, [float("nan")] * 8, "c"), (300, [1.0, None] * 4, "c"), (None, [1.0] * 8, "c"), (350, [1.0] * 3, "c"), rows[7], rows[7], rows[50], (7, [v + 1e-4 for v in rows[7][1]], "c"), (400, rows[0][1], "c")]
     found = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), F.col("id") % 50 == 0, k=5, segments=3, block=50).collect()
-    own = {k: np.floor(256 * np.array(v)).astype(int) for k, v, _ in rows if k is not None and v and None not in v and len(v) == 8 and not np.isnan(v).any()}
-    want = set()
+    own = [(k, np.floor(256 * np.array(v)).astype(int)) for k, v, _ in rows if k is not None and v and None not in v and len(v) == 8 and not np.isnan(v).any()]
+    want = []
     for q in (0, 50, 100, 400):
-        best = sorted((-int(own[q] @ v), k) for k, v in own.items() if k != q)[:5]
-        want |= {(q, i + 1, k, -s) for i, (s, k) in enumerate(best)}
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found} == want and len(found) == 20
+        best = sorted((-int(dict(own)[q] @ v), k) for k, v in own if k != q)[:5]
+        want += [(q, i + 1, k, -s) for i, (s, k) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == want
     assert exact_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 1 << 17])
+def test_topk_prunes_most_products(size):
+    """With lengths that differ, and lie in a few segments, the bounds spare most products, and lose nothing."""
+    rng = np.random.default_rng(5)
+    v = np.floor(256 * rng.normal(size=(6000, 64)) * np.exp(-np.arange(64) / 6) * rng.exponential(1, (6000, 1))).astype(np.int64) * size
+    exact = v[:300] @ v.T  # with the larger size of over 53 bits, which doubles don't hold
+    ids = np.arange(6000)
+    block = exact_topk.Block(ids[:300], v[:300], ids, v, 5, 8)
+    at, _, score = block.leaders(0)
+    cutoff = np.full(300, -np.inf)
+    for q in range(300):
+        cutoff[q] = score[at == q].min() if (at == q).sum() == 5 else -np.inf
+    at, who, score = block.reaching(cutoff)
+    for q in range(300):
+        assert list(zip((-score[at == q]).tolist(), who[at == q].tolist(), strict=True)) == sorted((-int(exact[q, c]), c) for c in range(6000) if c != q)[:5]
+    assert block.products < 0.5 * 300 * 6000 * 64
+
+
+def test_topk_of_long_vectors(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7 - j % 3) for j in range(20_000)], "x") for i in range(4)], "vec_id long, embedding array<double>, rank string")
+    found = exact_topk.top_k(rows, F.col("id") == 0, k=2).collect()
+    v = {i: np.array([256 * (i % 7 - j % 3) for j in range(20_000)]) for i in range(4)}
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in found] == [(i + 1, k, -s) for i, (s, k) in enumerate(sorted((-int(v[0] @ v[k]), k) for k in (1, 2, 3))[:2])]
+
+
 def test_license_texts_are_found_in_other_dress(spark, empty):
     name, text = license_lookup.KNOWN[0]
     dressed = "Copyright (c) 2020 Somebody\n\n" + text.upper().replace(" ", "\n * ").replace("SUBLICENSE", "sub-licence")
