@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import ChunkCache, cut, workers_can_import
+from gridloom.llm.common import ChunkCache, blocks, cut, workers_can_import
 
 #: A blank after white space, where chunks that begin with a blank can't be encoded one by one.
 WIDE_SPACE = re.compile(r"\s ")
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: dict, capacity: int = 2048, end: int = 0,
     tail = np.array([end], "<u4").tobytes()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches, 1):
             out: list[tuple] = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = token_ids(text or "", **tokenizer) + tail
@@ -168,7 +168,8 @@ def pack(docs: DataFrame, tokenizer: dict, capacity: int = 2048, end: int = 0, i
     spark = docs.sparkSession
     all_pieces = cut(pieces(docs, tokenizer, capacity, end, id_col, text_col))
     # Ranks within a length: first within (length, part), then the parts of a length one after another.
-    split = all_pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(max(SPREAD, 4 * all_pieces.rdd.getNumPartitions()))))
+    # Equal rows are told apart by the partition of the checkpoint that they lie in, the same whenever it is read.
+    split = all_pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.spark_partition_id()), F.lit(max(SPREAD, 4 * all_pieces.rdd.getNumPartitions()))))
     counts = cut(split.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     places = spark.sparkContext.broadcast(_places(plan(histogram, capacity)))

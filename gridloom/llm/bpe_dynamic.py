@@ -86,11 +86,10 @@ class DynamicBpe:
         self.spines = cache(self._spines)
         self.reachable = np.array([self.spines(i) is not None for _, i in tokens])
         self.pairs = IntTable(20)  # (left id, right id) as one long -> 1 if compatible, else 0
-        #: Ids and decoded text of words and of chunks met before.
+        self.token_text = np.array([self.text.get(i, "") for i in range(max(self.text) + 1)], object)
+        #: Ids of words and of chunks met before.
         self.word_ids: dict[str, bytes] = {}
-        self.word_text: dict[str, str] = {}
         self.chunk_ids: dict[str, bytes] = {}
-        self.chunk_text: dict[str, str] = {}
 
     def _spines(self, token: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
         """The tokens down the left and the right edge of the token's merge tree, each with the rank of the merge that
@@ -187,9 +186,8 @@ class DynamicBpe:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        text = self.text.__getitem__
         for w, ids in zip(words, self.encode_words(words), strict=True):
-            self.word_ids[w], self.word_text[w] = ids.tobytes(), " ".join(map(text, ids.tolist()))
+            self.word_ids[w] = ids.tobytes()
 
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk in scripts where libraries may know different Unicode versions: by the library's own."""
@@ -201,8 +199,8 @@ class DynamicBpe:
         text = SPACE.sub(" ", unicodedata.normalize("NFC", text))
         return text.lower()
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
-        """Of each text the ids as little-endian unsigned 32-bit integers, and the decoded chunks."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.special_at.split(t) if self.special_at and "<|" in t else [t] for t in texts]
         split = [[self.normal(p).split(" ") if k % 2 == 0 else p for k, p in enumerate(ps)] for ps in parts]
         seen = set()
@@ -210,40 +208,28 @@ class DynamicBpe:
             for p in ps[::2]:
                 seen.update(p)
         if len(self.chunk_ids) + len(seen) > MOST_CHUNKS:
-            self.chunk_ids, self.chunk_text = {}, {}
+            self.chunk_ids = {}
         words = {c: self.words(c) if c.isascii() or max(c) < PLAIN else self.split(c) for c in seen.difference(self.chunk_ids)}
         new = set()
         for ws in words.values():
             new.update(ws)
         if len(self.word_ids) + len(new) > MOST_WORDS:
-            self.word_ids, self.word_text = {}, {}
+            self.word_ids = {}
         self._learn(list(new.difference(self.word_ids)))
-        word_ids, word_text = self.word_ids.__getitem__, self.word_text.__getitem__
+        word_ids = self.word_ids.__getitem__
         for c, ws in words.items():
-            if len(ws) == 1:
-                self.chunk_ids[c], self.chunk_text[c] = word_ids(ws[0]), word_text(ws[0])
-            else:
-                self.chunk_ids[c], self.chunk_text[c] = b"".join(map(word_ids, ws)), " ".join(map(word_text, ws))
-        chunk_ids, chunk_text = self.chunk_ids.__getitem__, self.chunk_text.__getitem__
-        out = []
-        for ps in split:
-            ids, shown = [], []
-            for k, p in enumerate(ps):
-                if k % 2:
-                    ids.append(np.array([self.special[p]], "<u4").tobytes())
-                    shown.append(p)
-                else:
-                    ids.extend(map(chunk_ids, p))
-                    shown.extend(filter(None, map(chunk_text, p)))
-            out.append((b"".join(ids), shown))
+            self.chunk_ids[c] = word_ids(ws[0]) if len(ws) == 1 else b"".join(map(word_ids, ws))
+        chunk_ids = self.chunk_ids.__getitem__
+        special = lambda p: np.array([self.special[p]], "<u4").tobytes()
+        out = [b"".join(special(p) if k % 2 else b"".join(map(chunk_ids, p)) for k, p in enumerate(ps)) for ps in split]
         for w in (w for w in (*words, *new) if len(w) > LONGEST_KEPT):
-            for kept in (self.chunk_ids, self.chunk_text, self.word_ids, self.word_text):
-                kept.pop(w, None)
+            self.chunk_ids.pop(w, None)
+            self.word_ids.pop(w, None)
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: bytes) -> str:
         """The text that ids stand for: the file names no decoder, so tokens are joined by blanks."""
-        return " ".join(self.text[i] for i in ids)
+        return " ".join(self.token_text[np.frombuffer(ids, "<u4")].tolist())
 
 
 @cache
@@ -260,10 +246,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = encoder(path)
         for b in blocks(batches, 1):
             counts, id_hashes, text_hashes, all_ids = [], [], [], []
-            for ids, shown in bpe.encode([t or "" for t in b.column(1).to_pylist()]):
+            for ids in bpe.encode([t or "" for t in b.column(1).to_pylist()]):
                 counts.append(len(ids) // 4)
                 id_hashes.append(hashlib.sha256(ids).hexdigest())
-                text_hashes.append(hashlib.sha256(" ".join(shown).encode()).hexdigest())
+                text_hashes.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
                 if with_ids:
                     all_ids.append(ids)
             cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string()), *([pa.array(all_ids, pa.binary())] * with_ids)]

@@ -29,16 +29,20 @@ def workers_can_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder, so that a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for data between jobs that all executors reach: the one the cluster names in spark.checkpoint.dir. On one
+    machine (as in tests) a temporary one, if that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only if that is unset (as in tests on one
-    machine) a temporary one is set.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared checkpoint folder, so that a lost executor loses nothing."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import held_out, workers_can_import
+from gridloom.llm.common import blocks, held_out, workers_can_import
 
 #: A letter of any script; numerals such as "½" are none.
 LETTER = regex.compile(r"\p{L}")
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, lang: Column, teaches: Column, per_language: int = 500,
     sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "key", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches, 2):
             for i in range(0, b.num_rows, 100):
                 some = b.slice(i, 100)
                 packed = [ngram_counts(t, buckets).astype("<f2").tobytes() for t in some.column(2).to_pylist()]
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: CodeModel, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size set by its parameters
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches, 2):
             lang, score, unsure = shared.value.predict(b.column(2).to_pylist(), ambiguous_below)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
@@ -183,7 +183,7 @@ def keep_certain(docs: DataFrame, model: CodeModel, text_col: str = "text", leas
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches, at):
             lang, score, unsure, cost = shared.value.judge(b.column(at).to_pylist())
             yield b.filter(pa.array((np.array(lang, object) != UNKNOWN) & (score >= least) & ~unsure & (cost <= shared.value.most_loss), pa.bool_()))
 

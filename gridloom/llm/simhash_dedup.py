@@ -5,8 +5,8 @@ A fingerprint of 64 bits is cut into 32 segments of 2 bits, and each segment is
 exceeds the Hamming distance of the fingerprints: it is a lower bound, and a range-join on the vectors at radius 3
 misses nothing. The vectors are joined on a grid: if the distance over all 32 axes is at most 3, it is at most 1 over
 the first or the last 16 axes. So each distinct fingerprint asks, for either half, for the grid cells at distance 0
-and 1 (33 at most), and meets there the fingerprints whose half lies in the cell; the pair is then verified by
-the exact number of differing bits.
+and 1 (33 at most), and meets there the fingerprints whose half lies in the cell; pairs within Manhattan distance 3 over
+all axes are then verified by the exact number of differing bits.
 
 What happens in each case:
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, workers_can_import
+from gridloom.llm.common import blocks, cut, workers_can_import
 from gridloom.operators.graphs import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     workers_can_import(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches, 1):
             fps = np.fromiter((simhash(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
@@ -91,12 +91,20 @@ def _near_cells(half: Column) -> Column:
     return F.concat(F.array(half), F.filter(moves, lambda x: x.isNotNull()))
 
 
+def _steps(fp: Column) -> Column:
+    """The embedding of a whole fingerprint with its counts as steps: 0, 1 and 2 as 00, 01 and 11. So the number of bits in
+    which two of them differ is the Manhattan distance of the counts."""
+    low, high = fp.bitwiseAND(F.lit(LOW_BITS << 32 | LOW_BITS)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(LOW_BITS << 32 | LOW_BITS))
+    return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) with a < b: every pair of the distinct longs in column fp that differ in 1 to 3 bits, once."""
-    halves = fps.select("fp", F.posexplode(F.array(_half(F.col("fp"), 0), _half(F.col("fp"), 1))).alias("part", "cell"))
-    asks = halves.select(F.col("fp").alias("a"), "part", F.explode(_near_cells(F.col("cell"))).alias("cell"))
+    halves = fps.select("fp", _steps(F.col("fp")).alias("steps"), F.posexplode(F.array(_half(F.col("fp"), 0), _half(F.col("fp"), 1))).alias("part", "cell"))
+    asks = halves.select(F.col("fp").alias("a"), F.col("steps").alias("a_steps"), "part", F.explode(_near_cells(F.col("cell"))).alias("cell"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("fp")))
-    near = (asks["part"] == halves["part"]) & (asks["cell"] == halves["cell"]) & (F.col("a") < F.col("fp")) & (apart <= RADIUS)
+    bound = F.bit_count(F.col("a_steps").bitwiseXOR(F.col("steps")))
+    near = (asks["part"] == halves["part"]) & (asks["cell"] == halves["cell"]) & (F.col("a") < F.col("fp")) & (bound <= RADIUS) & (apart <= RADIUS)
     return asks.join(halves, near).select("a", F.col("fp").alias("b")).distinct()
 
 

@@ -66,6 +66,15 @@ def test_simhash_links_find_every_pair(spark):
     assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
 
 
+def test_simhash_bound_is_the_manhattan_distance(spark):
+    rng = random.Random(9)
+    pairs = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(50)]
+    counts = lambda v: [(v >> 2 * i & 1) + (v >> 2 * i + 1 & 1) for i in range(32)]
+    bound = F.bit_count(simhash_dedup._steps(F.col("a")).bitwiseXOR(simhash_dedup._steps(F.col("b"))))
+    for r in spark.createDataFrame(pairs, "a long, b long").withColumn("n", bound).collect():
+        assert r["n"] == sum(abs(x - y) for x, y in zip(counts(r["a"]), counts(r["b"]), strict=True))
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1002), (1002, 1001)]
     found = {r["node"]: r["root"] for r in simhash_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -100,10 +109,10 @@ def test_bpe_on_random_words():
     path, rng = queries.tokenizer_file("word_bpe_49k.json"), random.Random(1)
     library, own = Tokenizer.from_file(path), bpe_dynamic.encoder(path)
     texts = ["".join(rng.choice("abeht ñé'") for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["ha" * 999, "a" * 999]
-    for text, (ids, shown) in zip(texts, own.encode(texts), strict=True):
+    for text, ids in zip(texts, own.encode(texts), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
-        assert " ".join(shown) == library.decode(want, skip_special_tokens=False) == own.decode(want)
+        assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
 def test_token_counts_equal_the_library(odd):
@@ -161,6 +170,13 @@ def test_packing_places_every_piece_once(odd):
     assert sum(r["piece"] == 0 for r in rows) == odd.count()
 
 
+def test_packing_many_copies_of_one_row(spark):
+    rows = spark.createDataFrame([(1, "the same text", "x", 5)] * 500, "doc_id long, text string, sequence_id string, length int").repartition(5)
+    found = best_fit_packing.pack(rows, queries.byte_bpe(), 64).collect()
+    used, least = check_packing(found, 64, {1: "the same text"})
+    assert len({(r["sequence_id"], r["offset"]) for r in found}) == 500 and used <= -(-500 // (64 // found[0]["length"]))
+
+
 def test_packing_plan_is_whole_and_tight():
     rng = random.Random(4)
     for _ in range(200):
