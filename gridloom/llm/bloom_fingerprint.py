@@ -1,13 +1,14 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame functions only.
 
-A text's paragraphs are its lines, long ones cut into pieces, finer at the start of a text than further on, whatever its
-length. A piece that comes again counts again. Each is hashed to a digest of 56 bits that ends in 8 bits of its length, so that recovered digests can be
+A text's paragraphs are its lines, long ones cut at the ends of sentences or of some words, finer at the start of a text
+than further on, whatever its length, so that versions share their paragraphs whatever was put in or taken out.
+A piece that comes again counts again. Each is hashed to a digest of 56 bits that ends in 8 bits of its length, so that recovered digests can be
 weighed by their characters. A sketch has cells in three rows; each digest is added to one cell of each row, where a cell holds how many there are, the XOR of the digests and
 the XOR of their checksums. The sketches of two versions are subtracted cell by cell. What both have vanishes. A cell with one digest left
 gives it away; taking it out of its other cells uncovers more ("peeling"), until the differing digests are recovered.
 
-If the first sketch is too small for that, the digests are dealt to buckets with a sketch each, about a bucket for 16
-of them; a bucket that still fails gets a sketch four times as large, and at last a plain set difference.
+If the first sketch is too small for that, a larger one is made: the digests are dealt to buckets with a sketch each, about
+a bucket for 16 of them; a bucket that still fails gets larger sketches, by other hashes, until one succeeds.
 
 What happens in each case: null text counts as the empty text, which has no paragraph; two texts without a paragraph
 are alike (1), and one with and one without are not (0); equal texts have equal fingerprints and likeness 1; rows with
@@ -26,15 +27,22 @@ from pyspark.sql.window import Window
 
 from gridloom.llm.common import cut
 
-#: Cells in each of a sketch's three rows: powers of two, of at most 8 bits.
-FIRST, LARGER = 8, 32
+#: Cells in each of a sketch's three rows, as a power of two of at most 8.
+FIRST = 3
+#: The same of a bucket's sketches as powers of two, each tried if the one before failed. From the second on digests are
+#: hashed anew.
+RETRIES = (3, 5, 8, 8, 8, 8)
 ROUNDS = 6
 PER_BUCKET = 16
-#: (code points, longest piece) of a text's first parts, and the longest piece of the rest, of at most 8 bits. What a part
-#: is cut into doesn't depend on how long the text is, so that a cut version shares its pieces.
-PARTS = ((8, 2), (24, 4), (64, 8), (96, 16), (320, 32), (960, 96))
-LONGEST = 200
 LENGTH_BITS = 8
+#: (code points, pattern of a piece) of a text's first parts, which are cut off where they end.
+HEAD = ((8, r"[^\n]{1,2}"), (24, r"[^\n]{1,4}"), (64, r"[^\n]{6,16}?(?=\s)|[^\n]{1,16}"))
+_END, _WORD_END = r"[.!?…。！？](?=\s)", r"[dto](?=\s)"
+#: The same of what follows; each part goes on to a bound of the text itself, so that what is put in before moves no later
+#: piece. Pieces end with a line, a sentence, or a word with one of some letters; they have at most 8 bits' length.
+PARTS = ((416, r"[^\n]{24,32}?(?=\s)|[^\n]{1,32}"), (960, rf"[^\n]{{40,95}}?{_END}|[^\n]{{60,95}}?{_WORD_END}|[^\n]{{1,96}}"), (None, rf"[^\n]{{60,199}}?{_END}|[^\n]{{110,199}}?{_WORD_END}|[^\n]{{1,200}}"))
+#: What a part of so many code points holds: on to the next bound, if one is near.
+REACH = rf"(?s)\A.{{0,%d}}(?:[^\n]{{0,150}}?(?:{_END}|\n))?"
 
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -57,12 +65,23 @@ def numbered(digests: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
-    pieces = lambda part, n: F.regexp_extract_all(part, F.lit(rf"[^\n]{{1,{n}}}"), F.lit(0))
     found, at = [], 1
-    for size, longest in PARTS:
-        found.append(pieces(F.substring(text, F.lit(at), F.lit(size)), longest))
+    for size, piece in HEAD:
+        found.append(F.regexp_extract_all(F.substring(text, F.lit(at), F.lit(size)), F.lit(piece), F.lit(0)))
         at += size
-    found.append(pieces(F.substring(text, F.lit(at), F.char_length(text)), LONGEST))
+    reach = lambda x, n: F.regexp_extract(F.substring(x, 1, n + 152), REACH % n, 0)
+    behind = lambda x, part: F.substring(x, F.char_length(part) + 1, F.char_length(x))
+    pieces = lambda x, k: F.regexp_extract_all(x, F.lit(PARTS[k][1]), F.lit(0))
+
+    def follow(x: Column, k: int) -> Column:
+        if PARTS[k][0] is None:
+            return pieces(x, k)
+        return _let(x, lambda x: _let(reach(x, PARTS[k][0]), lambda part: F.concat(pieces(part, k), follow(behind(x, part), k + 1))))
+
+    # What follows begins at the first end of a sentence behind the head.
+    rest = lambda x: _let(reach(x, 0), lambda first: F.concat(pieces(first, 0), follow(behind(x, first), 0)))
+    tail = F.substring(text, F.lit(at), F.char_length(text))
+    found.append(F.when(F.char_length(text) < at, F.array().cast("array<string>")).otherwise(_let(tail, rest)))
     low = (1 << LENGTH_BITS) - 1
     return numbered(F.transform(F.concat(*found), lambda p: F.xxhash64(p).bitwiseAND(F.lit(~low)).bitwiseOR(F.char_length(p).cast("long"))))
 
@@ -72,29 +91,26 @@ def characters(digests: Column) -> Column:
     return F.aggregate(digests, F.lit(0).cast("long"), lambda n, d: n + d.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)))
 
 
-def _lies_in(digest: Column, cell: Column, width: int) -> Column:
-    """Whether a digest belongs to a cell, of a sketch of three rows of so many cells. Each row uses other bits."""
-    row = F.shiftright(cell, width.bit_length() - 1)
-    bits = F.when(row == 0, F.shiftright(digest, LENGTH_BITS)).when(row == 1, F.shiftright(digest, LENGTH_BITS + 8)).otherwise(F.shiftright(digest, LENGTH_BITS + 16))
-    return bits.bitwiseAND(F.lit(width - 1)) == cell.bitwiseAND(F.lit(width - 1))
+def _places(digest: Column, salt: Column | None) -> Column:
+    """The bits of a digest that say where it lies: 8 for each row."""
+    own = F.shiftright(digest, LENGTH_BITS)
+    return own if salt is None else F.when(salt == 0, own).otherwise(F.xxhash64(digest, salt))
 
 
 def _cell(n: Column, k: Column, h: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), k.cast("long").alias("k"), h.cast("long").alias("h"))
 
 
-def sketch(digests: Column, width: int = FIRST) -> Column:
-    """The cells (n, k, h) of a set of digests."""
-    add = lambda c, d: _cell(c["n"] + 1, c["k"].bitwiseXOR(d), c["h"].bitwiseXOR(F.xxhash64(d)))
+def sketch(digests: Column, width: Column | None = None, salt: Column | None = None) -> Column:
+    """The cells (n, k, h) of a set of digests: three rows of 2^width cells."""
+    width = F.lit(FIRST) if width is None else width
+    add = lambda c, y: _cell(c["n"] + 1, c["k"].bitwiseXOR(y["d"]), c["h"].bitwiseXOR(y["h"]))
     nothing = _cell(F.lit(0), F.lit(0), F.lit(0))
-    # Row by row, as `_lies_in` says, so that a row's bits are taken once for each digest.
-    def row(r: int) -> Column:
-        bits = lambda d: F.shiftright(d, LENGTH_BITS + 8 * r).bitwiseAND(F.lit(width - 1))
-        in_row = F.transform(digests, lambda d: F.struct(bits(d).alias("at"), d.alias("d")))
-        cells = lambda x: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda i: F.aggregate(F.filter(x, lambda y: y["at"] == i), nothing, lambda c, y: add(c, y["d"])))
-        return _let(in_row, cells)
-
-    return F.concat(*(row(r) for r in range(3)))
+    last = (F.call_function("shiftleft", F.lit(1), width) - 1).cast("long")
+    item = lambda d, at: F.struct(*(F.shiftright(at, 8 * r).bitwiseAND(last).alias(f"at{r}") for r in range(3)), d.alias("d"), F.xxhash64(d).alias("h"))
+    row = lambda items, r: F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.aggregate(F.filter(items, lambda y: y[f"at{r}"] == i), nothing, add))
+    items = F.transform(digests, lambda d: item(d, _places(d, salt)) if salt is None else _let(_places(d, salt), lambda at: item(d, at)))
+    return _let(items, lambda x: F.concat(*(row(x, r) for r in range(3))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -102,26 +118,36 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
 
 
-def peel(cells: Column, width: int = FIRST) -> Column:
+def peel(cells: Column, width: Column | None = None, salt: Column | None = None) -> Column:
     """(done, here, there): whether the subtracted cells gave away all, and the digests of either side."""
+    width = F.lit(FIRST) if width is None else width
     longs = F.array().cast("array<long>")
     pure = lambda c: (F.abs(c["n"]) == 1) & (c["h"] == F.xxhash64(c["k"]))
 
+    side = F.call_function("shiftleft", F.lit(1), width)
+
+    def placed(c: Column) -> Column:
+        """A pure cell with the numbers of the cells that its digest lies in."""
+        return _let(_places(c["k"], salt), lambda at: F.struct(
+            c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h"),
+            *((F.shiftright(at, 8 * r).bitwiseAND(side.cast("long") - 1).cast("int") + r * side).alias(f"c{r}") for r in range(3)),
+        ))
+
     def without(cell: Column, i: Column, items: Column) -> Column:
         out = lambda c, x: _cell(c["n"] - x["n"], c["k"].bitwiseXOR(x["k"]), c["h"].bitwiseXOR(x["h"]))
-        return F.aggregate(F.filter(items, lambda x: _lies_in(x["k"], i, width)), cell, out)
+        return F.aggregate(F.filter(items, lambda x: (x["c0"] == i) | (x["c1"] == i) | (x["c2"] == i)), cell, out)
 
     def state(c: Column, here: Column, there: Column) -> Column:
         return F.struct(c.alias("cells"), here.alias("here"), there.alias("there"))
 
     def step(s: Column, _: Column) -> Column:
-        side = lambda items, n: F.transform(F.filter(items, lambda x: x["n"] == n), lambda x: x["k"])
+        of = lambda items, n: F.transform(F.filter(items, lambda x: x["n"] == n), lambda x: x["k"])
         return _let(
-            F.array_distinct(F.filter(s["cells"], pure)),
+            F.transform(F.array_distinct(F.filter(s["cells"], pure)), placed),
             lambda items: F.when(F.size(items) == 0, s).otherwise(
                 state(
                     F.transform(s["cells"], lambda c, i: without(c, i, items)),
-                    F.concat(s["here"], side(items, 1)), F.concat(s["there"], side(items, -1)),
+                    F.concat(s["here"], of(items, 1)), F.concat(s["there"], of(items, -1)),
                 )
             ),
         )
@@ -134,10 +160,16 @@ def peel(cells: Column, width: int = FIRST) -> Column:
 
 
 def _certain(a: Column, b: Column) -> Column:
-    """The differing digests of a bucket: by a sketch, by a larger one, by plain difference."""
-    plain = F.struct(F.lit(True).alias("done"), F.array_except(a, b).alias("here"), F.array_except(b, a).alias("there"))
-    larger = _let(peel(subtract(sketch(a, LARGER), sketch(b, LARGER)), LARGER), lambda r: F.when(r["done"], r).otherwise(plain))
-    return _let(peel(subtract(sketch(a), sketch(b))), lambda r: F.when(r["done"], r).otherwise(larger))
+    """(done, here, there) of a bucket, by sketches that are larger or hashed anew each time one fails.
+
+    That all fail is out of the question: each of the last four fails for about one of 10^5 buckets, whatever the others do.
+    """
+    longs = F.array().cast("array<long>")
+    start = F.struct(F.lit(False).alias("done"), longs.alias("here"), longs.alias("there"))
+    tries = F.array(*[F.struct(F.lit(w).alias("width"), F.lit(k).alias("salt")) for k, w in enumerate(RETRIES)])
+    by_sketch = lambda t: peel(subtract(sketch(a, t["width"], t["salt"]), sketch(b, t["width"], t["salt"])), t["width"], t["salt"])
+    found = F.aggregate(tries, start, lambda s, t: F.when(s["done"], s).otherwise(by_sketch(t)))
+    return _let(found, lambda r: F.struct(F.when(r["done"], F.lit(True)).otherwise(F.raise_error(F.lit("no sketch gives the differing digests")).cast("boolean")).alias("done"), r["here"].alias("here"), r["there"].alias("there")))
 
 
 def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
@@ -150,7 +182,7 @@ def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Col
         flat, high = (lambda v: v), (lambda v: F.shiftrightunsigned(v, 20))
         found = each(n, lambda g: _let(
             F.struct(of(a, g, flat).alias("a"), of(b, g, flat).alias("b")),
-            lambda ab: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda h: _certain(of(ab["a"], h, high), of(ab["b"], h, high))),
+            lambda ab: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda h: _let(F.struct(of(ab["a"], h, high).alias("a"), of(ab["b"], h, high).alias("b")), lambda x: _certain(x["a"], x["b"]))),
         ))
         side = lambda r, name: F.flatten(F.transform(r, lambda x: x[name]))
         return _let(found, lambda r: F.struct(F.lit(True).alias("done"), side(r, "here").alias("here"), side(r, "there").alias("there")))
@@ -213,10 +245,10 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digests = cut(both.select(
         "doc_id", "th", "n_chars", "copies", "next_id", "next_th", F.sha2("edited", 256).alias("edited_sha256"),
         paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e"),
-    ))
-    others = digests.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("a").alias("b"))
+    ).withColumn("sa", sketch(F.col("a"))))
+    others = digests.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("a").alias("b"), F.col("sa").alias("sb"))
     rows = digests.join(others, F.col("next_id").eqNullSafe(F.col("d")) & (F.col("next_th") == F.col("t")))
-    rows = rows.withColumns({"sa": sketch(F.col("a")), "se": sketch(F.col("e")), "sb": sketch(F.col("b"))})
+    rows = rows.withColumn("se", sketch(F.col("e")))
     rows = rows.withColumns({"de": differences(F.col("a"), F.col("e"), F.col("sa"), F.col("se")), "dn": differences(F.col("a"), F.col("b"), F.col("sa"), F.col("sb"))})
     rows = rows.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("sa")).alias("fingerprint"), shown(F.col("se")).alias("edited_fingerprint"),

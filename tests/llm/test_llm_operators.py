@@ -303,6 +303,36 @@ def test_bloom_likeness_of_cut_versions_of_any_length(spark, n):
     assert abs(near - 0.66) < 0.08 if n >= 390 else near > 0.4
 
 
+def test_bloom_likeness_after_a_word_in_front(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    text = " ".join(" ".join(word() for _ in range(rng.randint(6, 16))) + "." for _ in range(60))[:2500]
+    rows = spark.createDataFrame([(2, text), (1, "Before " + text), (0, text[:900] + " put in " + text[900:])], "doc_id long, text string")
+    near = {r["doc_id"]: r["near_next"] for r in bloom_fingerprint.compare_versions(rows).collect()}
+    assert near[2] > 0.9 and near[1] > 0.8 and near[0] > 0.85
+
+
+def test_bloom_likeness_by_brute_force(spark, odd):
+    """The likeness that peeling gives is that of the sets of digests, counted in Python."""
+    rows = {r["doc_id"]: r for r in bloom_fingerprint.compare_versions(odd.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
+    sets = odd.select("doc_id", bloom_fingerprint.paragraphs(F.coalesce("text", F.lit(""))).alias("p")).where("doc_id is not null").collect()
+    sets = {r["doc_id"]: set(r["p"]) for r in sets}
+    ids, size = sorted(sets, reverse=True), lambda s: sum(d & 255 for d in s)
+    for i, k in enumerate(ids):
+        a, b = sets[k], sets[ids[(i + 1) % len(ids)]]
+        want = 2 * size(a & b) / (size(a) + size(b)) if a or b else 1
+        assert abs(rows[k]["near_next"] - want) < 1e-9 and set(rows[k]["only_before"]) <= a
+
+
+def test_bloom_sketches_grow_until_all_is_given_away(spark):
+    """Sets whose differing digests share the places of the first sketches are told apart by other hashes."""
+    same = [(k << 48) | 0x010203_00 | k for k in range(1, 40)]
+    rows = spark.createDataFrame([(same, []), (same[:20], same[20:])], "a array<long>, b array<long>")
+    found = rows.select("a", "b", bloom_fingerprint._certain(F.col("a"), F.col("b")).alias("d")).collect()
+    for r in found:
+        assert r["d"]["done"] and sorted(r["d"]["here"]) == sorted(r["a"]) and sorted(r["d"]["there"]) == sorted(r["b"])
+
+
 def test_bloom_pieces_that_come_again_count_again(spark):
     rows = spark.createDataFrame([(1, "same line\n" * 50), (0, "same line\n" * 500), (2, "ab" * 4)], "doc_id long, text string")
     found = rows.select("doc_id", "text", bloom_fingerprint.paragraphs(F.col("text")).alias("p")).withColumn("n", bloom_fingerprint.characters(F.col("p"))).collect()
