@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import running
+
 
 def future_value(present: Column, rate: Column, periods: Column) -> Column:
     return present * F.pow(1 + rate, periods)
@@ -23,9 +25,9 @@ def sharpe(returns: str, risk_free: float = 0.0) -> Column:
     return F.try_divide(F.avg(returns) - risk_free, F.stddev_samp(returns))
 
 
-def value_at_risk(returns: str, level: float = 0.95) -> Column:
-    """The loss not exceeded with the given share, by the exact quantile."""
-    return -F.percentile(returns, F.lit(1 - level))
+def value_at_risk(df: DataFrame, returns: str, level: float = 0.95) -> DataFrame:
+    """(value_at_risk): the loss not exceeded with the given share, by the exact quantile."""
+    return running.quantile_row(df, [returns], [1 - level]).select((-F.col(returns)[0]).alias("value_at_risk"))
 
 
 def net_present_value(flow: str, period: str, rate: float) -> Column:
@@ -121,7 +123,7 @@ def internal_rate(df, keys: list[str], flow: str, period: str, low: float = -0.9
 
 def shortfall(df, returns: str, level: float = 0.95):
     """(shortfall): the mean loss of the returns at or below the value at risk."""
-    edge = df.agg(F.percentile(returns, F.lit(1 - level)).alias("__q"))
+    edge = running.quantile_row(df, [returns], [1 - level]).select(F.col(returns)[0].alias("__q"))
     return df.join(F.broadcast(edge)).where(F.col(returns) <= F.col("__q")).agg((-F.avg(returns)).alias("shortfall"))
 
 

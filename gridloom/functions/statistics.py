@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.operators import running
+
 
 def skewness(c: str) -> Column:
     """Adjusted for bias."""
@@ -30,8 +32,10 @@ def harmonic_mean(c: str) -> Column:
     return F.try_divide(F.count(c).cast("double"), F.sum(1 / F.col(c)))
 
 
-def iqr(c: str) -> Column:
-    return F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
+def iqr(df: DataFrame, c: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, iqr): the distance of the quartiles in each group."""
+    at = lambda q: F.max(F.when(F.col("share") == q, F.col("value")))
+    return running.quantiles(df, [c], [0.25, 0.75], keys).groupBy(*keys).agg((at(0.75) - at(0.25)).alias("iqr"))
 
 
 def variation(c: str) -> Column:
@@ -42,9 +46,13 @@ def standard_error(c: str) -> Column:
     return F.stddev_samp(c) / F.sqrt(F.count(c))
 
 
+def _ends(df: DataFrame, c: str, share: float) -> DataFrame:
+    return running.quantile_row(df, [c], [share, 1 - share]).select(F.col(c)[0].alias("__a"), F.col(c)[1].alias("__b"))
+
+
 def trimmed_mean(df: DataFrame, c: str, share: float) -> DataFrame:
     """The mean without the given share of rows at either end. The cut-offs are exact quantiles of a small aggregate."""
-    ends = df.agg(F.percentile(c, F.lit(share)).alias("__a"), F.percentile(c, F.lit(1 - share)).alias("__b"))
+    ends = _ends(df, c, share)
     return df.join(F.broadcast(ends)).where(F.col(c).between(F.col("__a"), F.col("__b"))).agg(F.avg(c).alias("trimmed_mean"))
 
 
@@ -67,17 +75,31 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """(chi2, dof) of independence, from the table of counts."""
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").cast("double").alias("o"))
     rows, cols = n.groupBy(a).agg(F.sum("o").alias("r")), n.groupBy(b).agg(F.sum("o").alias("c"))
-    total = n.agg(F.sum("o").alias("t"))
-    cells = rows.crossJoin(F.broadcast(cols)).crossJoin(F.broadcast(total)).join(n, [a, b], "left")  # one row for each pair of labels
-    e = F.col("r") * F.col("c") / F.col("t")
-    return cells.agg(F.sum(F.pow(F.coalesce("o", F.lit(0.0)) - e, F.lit(2)) / e).alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"))
+    # A cell adds o^2 / e - 2 o + e. All expected counts add up to the total, as the observed do, so that empty cells need no row.
+    met = n.join(rows, a).join(cols, b).agg(F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("s"), F.sum("o").alias("t"))
+    labels = n.agg(((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("dof"))
+    return met.join(F.broadcast(labels)).select((F.col("t") * (F.col("s") - 1)).alias("chi2"), "dof")
+
+
+def _running_extreme(df: DataFrame, order: list[str], c: str, greatest: bool) -> DataFrame:
+    """df with __run: the greatest (least) c of the rows so far by the order, by ranges and then within them."""
+    f, pick = (F.max, F.greatest) if greatest else (F.min, F.least)
+    way = [F.asc(x) if greatest else F.desc(x) for x in order]
+    dealt = running.checkpointed(df.repartitionByRange(*way).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ends = dealt.groupBy("__range").agg(f(c).alias("__e")).select("__range", f("__e").over(before).alias("__e"))
+    inside = f(c).over(Window.partitionBy("__range").orderBy(*way).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(ends), "__range").withColumn("__run", pick(inside, F.coalesce("__e", inside))).drop("__range", "__e")
+
+
+def _ranked(df: DataFrame, key: str, p: str) -> DataFrame:
+    return running.numbered(df, [p, key], "__rank").join(F.broadcast(df.agg(F.count("*").alias("__n"))))
 
 
 def holm(df: DataFrame, key: str, p: str) -> DataFrame:
-    """Step-down adjusted p-values, for a table of tests."""
-    w = Window.orderBy(p, key)
-    raw = F.least(F.lit(1.0), F.col(p) * (F.count("*").over(Window.partitionBy()) - F.row_number().over(w) + 1))
-    return df.withColumn("__raw", raw).withColumn("adjusted", F.max("__raw").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__raw")
+    """Step-down adjusted p-values, for a table of tests of any size."""
+    raw = _ranked(df, key, p).withColumn("__raw", F.least(F.lit(1.0), F.col(p) * (F.col("__n") - F.col("__rank"))))
+    return _running_extreme(raw, [p, key], "__raw", True).select(*df.columns, F.col("__run").alias("adjusted"))
 
 
 def normal_cdf(x: Column) -> Column:
@@ -91,14 +113,15 @@ def normal_cdf(x: Column) -> Column:
 
 def winsorized_mean(df: DataFrame, c: str, share: float) -> DataFrame:
     """The mean with values beyond the share's quantiles at either end moved to them."""
-    ends = df.agg(F.percentile(c, F.lit(share)).alias("__a"), F.percentile(c, F.lit(1 - share)).alias("__b"))
+    ends = _ends(df, c, share)
     return df.where(F.col(c).isNotNull()).join(F.broadcast(ends)).agg(F.avg(F.least(F.greatest(F.col(c), F.col("__a")), F.col("__b"))).alias("winsorized_mean"))
 
 
 def median_deviation(df: DataFrame, c: str) -> DataFrame:
     """(mad): the median distance from the median."""
-    middle = df.agg(F.median(c).alias("__m"))
-    return df.join(F.broadcast(middle)).agg(F.median(F.abs(F.col(c) - F.col("__m"))).alias("mad"))
+    middle = running.quantile_row(df, [c], [0.5]).select(F.col(c)[0].alias("__m"))
+    apart = df.join(F.broadcast(middle)).select(F.abs(F.col(c) - F.col("__m")).alias("mad"))
+    return running.quantile_row(apart, ["mad"], [0.5]).select(F.col("mad")[0].alias("mad"))
 
 
 def weighted_variance(value: str, weight: str) -> Column:
@@ -143,10 +166,9 @@ def bonferroni(df: DataFrame, p: str) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, key: str, p: str) -> DataFrame:
-    """Step-up adjusted p-values for the rate of false discoveries, for a table of tests."""
-    w = Window.orderBy(p, key)
-    raw = F.col(p) * F.count("*").over(Window.partitionBy()) / F.row_number().over(w)
-    return df.withColumn("__raw", raw).withColumn("adjusted", F.least(F.lit(1.0), F.min("__raw").over(w.rowsBetween(0, Window.unboundedFollowing)))).drop("__raw")
+    """Step-up adjusted p-values for the rate of false discoveries, for a table of tests of any size."""
+    raw = _ranked(df, key, p).withColumn("__raw", F.col(p) * F.col("__n") / (F.col("__rank") + 1))
+    return _running_extreme(raw, [p, key], "__raw", False).select(*df.columns, F.least(F.lit(1.0), "__run").alias("adjusted"))
 
 
 def paired_t(a: str, b: str) -> Column:
@@ -165,7 +187,7 @@ def goodness_of_fit(df: DataFrame, c: str, shares: dict) -> DataFrame:
 
 def brown_forsythe(df: DataFrame, value: str, group: str) -> DataFrame:
     """(f, between, within): analysis of variance of the distances from each group's median, a test of equal spread."""
-    middle = df.groupBy(group).agg(F.median(value).alias("__m"))
+    middle = running.quantiles(df, [value], [0.5], [group]).select(group, F.col("value").alias("__m"))
     return anova_f(df.join(middle, group).select(group, F.abs(F.col(value) - F.col("__m")).alias(value)), value, group)
 
 
@@ -182,3 +204,29 @@ def bootstrap_mean(df: DataFrame, c: str, key: str, rounds: int = 200, level: fl
 def jackknife(c: str) -> list[Column]:
     """(estimate, error) of the mean with one row left out at a time, as aggregates: the algebra needs no resampling."""
     return [F.avg(c).alias("estimate"), (F.stddev_samp(c) / F.sqrt(F.count(c))).alias("error")]
+
+
+def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(w, z) of the signed ranks of a - b: the sum of the positive differences' average ranks, pairs without a difference
+    left out, and its normal score without correction for ties."""
+    d = df.select((F.col(a) - F.col(b)).cast("double").alias("d")).where("d is not null and d <> 0").select(F.abs("d").alias("size"), (F.col("d") > 0).alias("up"))
+    counts = running.totals_before(d.groupBy("size").agg(F.count("*").alias("n"), F.count_if("up").alias("up")), "size", ["n"])
+    s = counts.agg(F.sum(F.col("up") * (F.col("before_n") + (F.col("n") + 1) / 2)).alias("w"), F.sum("n").cast("double").alias("n"))
+    n = F.col("n")
+    return s.select("w", F.try_divide(F.col("w") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
+
+
+def power_two_sample(effect: Column, n: Column, z: float = 1.959963984540054) -> Column:
+    """The share of true effects of so many deviations that two groups of n find, by the normal curve; z is the level's bound."""
+    shift = F.abs(effect) * F.sqrt(n / 2)
+    return normal_cdf(shift - z) + normal_cdf(-shift - z)
+
+
+def power_one_sample(effect: Column, n: Column, z: float = 1.959963984540054) -> Column:
+    shift = F.abs(effect) * F.sqrt(n)
+    return normal_cdf(shift - z) + normal_cdf(-shift - z)
+
+
+def size_two_sample(effect: Column, z: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> Column:
+    """How many each of two groups needs to find an effect with the power that z_power stands for."""
+    return F.ceil(2 * F.pow((z + z_power) / effect, F.lit(2)))

@@ -54,3 +54,26 @@ def argmax(a: Column) -> Column:
 def normalized(a: Column) -> Column:
     n = norm(a)
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+
+
+def project(a: Column, b: Column) -> Column:
+    """The part of a along b; null for a zero b."""
+    share = F.try_divide(dot(a, b), dot(b, b))
+    return F.when(share.isNotNull(), F.transform(b, lambda x: x.cast("double") * share))
+
+
+def outer(a: Column, b: Column) -> Column:
+    return F.transform(a, lambda x: F.transform(b, lambda y: x.cast("double") * y.cast("double")))
+
+
+def linspace(low: Column, high: Column, n: int) -> Column:
+    """n numbers at even distances, with both ends."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: low + (high - low) * i / max(1, n - 1))
+
+
+def argmin(a: Column) -> Column:
+    return (F.array_position(a, F.array_min(a)) - 1).cast("int")
+
+
+def clip(a: Column, low: float, high: float) -> Column:
+    return F.transform(a, lambda x: F.least(F.greatest(x.cast("double"), F.lit(low)), F.lit(high)))

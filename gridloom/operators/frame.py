@@ -59,20 +59,21 @@ def one_hot_encode(df: DataFrame, column: str, values: list | None = None, most:
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """column_code: the place of each label among the sorted distinct labels, from 0. The few labels are ranked alone."""
-    from pyspark.sql.window import Window
+    """column_code: the place of each label among the sorted distinct labels, from 0, ranked by ranges."""
+    from gridloom.operators import running
 
     labels = df.select(column).where(F.col(column).isNotNull()).distinct()
-    coded = labels.withColumn(f"{column}_code", (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
-    return df.join(coded, column, "left")
+    return df.join(running.numbered(labels, [column], f"{column}_code"), column, "left")
 
 
 def profile(df: DataFrame) -> DataFrame:
     """A row for each numeric column: count, nulls, distinct values, least, greatest, mean, deviation and adjusted skewness."""
+    from gridloom.functions.statistics import skewness
+
     names = numeric(df)
     stats = lambda c: F.struct(
         F.lit(c).alias("column"), F.count(c).alias("count"), F.sum(F.col(c).isNull().cast("long")).alias("null_count"), F.count_distinct(c).alias("unique_count"),
-        F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.skewness(c).alias("skew"),
+        F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), skewness(c).alias("skew"),
     )
     return df.agg(F.array(*map(stats, names)).alias("s")).select(F.inline("s"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,32 +21,100 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, most_rounds: int = 100) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, dist): the least number of edges from any of the sources (node); nodes out of reach are left out."""
     e = checkpointed(both_ways(edges))
     seen = checkpointed(sources.select("node").distinct().withColumn("dist", F.lit(0)))
     edge = seen
-    for k in range(1, most_rounds + 1):
+    for k in count(1):
         after = e.join(edge.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
         edge = checkpointed(after.join(seen, "node", "left_anti").withColumn("dist", F.lit(k)))
         if edge.isEmpty():
             return seen
         seen = checkpointed(seen.union(edge))
-    raise RuntimeError(f"not settled in {most_rounds} rounds")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, cost) over directed edges (a, b, w) with w >= 0; only nodes that got cheaper are followed further."""
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, cost, via) over directed edges (a, b, w): the least cost from any of the sources, and the node before on a
+    cheapest way (the smallest of several; null for a source). Weights may be negative; a cycle that gets cheaper each time
+    round is an error. Only nodes that got cheaper are followed further, for at most as many rounds as there are nodes.
+    """
     e = checkpointed(edges.select("a", "b", F.col("w").cast("double").alias("w")).na.drop().groupBy("a", "b").agg(F.min("w").alias("w")))
-    best = checkpointed(sources.select("node").distinct().withColumn("cost", F.lit(0.0)))
+    n = e.select(F.col("a").alias("node")).union(e.select("b")).union(sources.select("node")).distinct().count()
+    kind = dict(e.dtypes)["a"]
+    best = checkpointed(sources.select("node").distinct().withColumns({"cost": F.lit(0.0), "via": F.lit(None).cast(kind)}))
     moved = best
-    for _ in range(most_rounds):
-        ways = e.join(moved, e["a"] == moved["node"]).groupBy(F.col("b").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("cost"))
-        moved = checkpointed(ways.join(best.withColumnRenamed("cost", "was"), "node", "left").where("was is null or cost < was").select("node", "cost"))
+    for _ in range(n + 1):
+        ways = e.join(moved, e["a"] == moved["node"]).groupBy(F.col("b").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("a").alias("via"))).alias("s")).select("node", "s.*")
+        moved = checkpointed(ways.join(best.select("node", F.col("cost").alias("was")), "node", "left").where("was is null or cost < was").select("node", "cost", "via"))
         if moved.isEmpty():
             return best
-        best = checkpointed(best.union(moved).groupBy("node").agg(F.min("cost").alias("cost")))
-    raise RuntimeError(f"not settled in {most_rounds} rounds")
+        better = F.min(F.struct("cost", "via")).alias("s")
+        best = checkpointed(best.union(moved).groupBy("node").agg(better).select("node", "s.*"))
+    raise ValueError("a cycle of negative weight can be reached")
+
+
+def path_to(paths: DataFrame, node) -> list:
+    """The nodes of the way that `shortest_paths` found to one node, from its source on; empty if it can't be reached. A step
+    is one lookup, so this is for single nodes."""
+    way, at = [], node
+    while at is not None:
+        row = paths.where(F.col("node") == at).select("via").first()
+        if row is None:
+            return []
+        way.append(at)
+        at = row["via"]
+    return way[::-1]
+
+
+def _reach(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, color): the greatest label (node, color) that reaches each node along the edges, its own included."""
+    color = checkpointed(labels)
+    while True:
+        sent = edges.join(color, edges["a"] == color["node"]).groupBy(F.col("b").alias("node")).agg(F.max("color").alias("got"))
+        after = checkpointed(color.join(sent, "node", "left").select("node", F.greatest("color", "got").alias("color"), (F.col("got") > F.col("color")).alias("up")))
+        color = after.select("node", "color")
+        if after.where("up").isEmpty():
+            return color
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) over directed edges: nodes that reach each other, named by their smallest node.
+
+    By colours: every node takes the greatest node that reaches it. Nodes of a colour that in turn reach their colour's
+    node, within the colour, are a component; they go, and the rest are coloured anew. Nodes without a way in or out
+    are components of one and go first.
+    """
+    left = checkpointed(edges.select("a", "b").na.drop().distinct())
+    nodes = checkpointed(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
+    left = checkpointed(left.where("a <> b"))
+    done = []
+    while not nodes.isEmpty():
+        inner = left.select(F.col("a").alias("node")).intersect(left.select(F.col("b").alias("node")))
+        single = checkpointed(nodes.join(inner, "node", "left_anti"))
+        if not single.isEmpty():
+            done.append(single.select("node", F.col("node").alias("component")))
+            nodes, gone = checkpointed(nodes.join(single, "node", "left_anti")), single
+        else:
+            color = _reach(left, nodes.withColumn("color", F.col("node")))
+            ends = left.join(color.select(F.col("node").alias("a"), F.col("color").alias("ca")), "a").join(color.select(F.col("node").alias("b"), F.col("color").alias("cb")), "b")
+            back = checkpointed(ends.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("ca").alias("c")))
+            found = checkpointed(color.where("node = color"))
+            edge = found
+            while True:
+                met = back.join(edge.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node"), F.col("c").alias("color")).distinct()
+                edge = checkpointed(met.join(found, "node", "left_anti"))
+                if edge.isEmpty():
+                    break
+                found = checkpointed(found.union(edge))
+            names = found.groupBy("color").agg(F.min("node").alias("component"))
+            done.append(checkpointed(found.join(names, "color").select("node", "component")))
+            nodes, gone = checkpointed(nodes.join(found, "node", "left_anti")), found
+        left = checkpointed(left.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti"))
+    out = edges.sparkSession.createDataFrame([], nodes.schema).select("node", F.col("node").alias("component"))
+    for d in done:
+        out = out.union(d)
+    return out
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -74,7 +144,7 @@ def page_rank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> Data
     return rank.select("node", "rank")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node of the edges, the smallest node that it reaches.
 
     Large-star and small-star steps in turn: each round ties every node's larger neighbours to the smallest node next
@@ -97,12 +167,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     e = checkpointed(edges.select("a", "b").where("a <> b").distinct())
     was = None
-    for _ in range(most_rounds):
+    while True:
         e = checkpointed(star(star(e, True), False))
         if (now := tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())) == was:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())
         was = now
-    raise RuntimeError(f"not settled in {most_rounds} rounds")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -122,7 +191,7 @@ def bipartite(edges: DataFrame) -> DataFrame:
     return connected_components(e).join(apart, "node").groupBy("component").agg(F.every("apart").alias("bipartite"))
 
 
-def spanning_forest(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def spanning_forest(edges: DataFrame) -> DataFrame:
     """(a, b, w), a < b: the lightest edges that keep all nodes connected; ties go to smaller ends.
 
     By Boruvka's rounds: each component takes its lightest edge out, then components that met become one; their
@@ -131,9 +200,7 @@ def spanning_forest(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     some = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("w")).na.drop().where("a <> b")
     left = checkpointed(some.groupBy("a", "b").agg(F.min("w").alias("w")).withColumns({"ca": F.col("a"), "cb": F.col("b")}))
     taken = []
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         edge = F.struct("w", "a", "b", "ca", "cb")
         ways = left.select(F.col("ca").alias("c"), edge.alias("e")).union(left.select(F.col("cb").alias("c"), edge.alias("e")))
         best = checkpointed(ways.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
@@ -142,25 +209,22 @@ def spanning_forest(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         for c in ("ca", "cb"):
             left = left.join(merged.select(F.col("node").alias(c), F.col("component").alias("__c")), c, "left").withColumn(c, F.coalesce("__c", c)).drop("__c")
         left = checkpointed(left.where("ca <> cb"))
-    else:
-        raise RuntimeError(f"not settled in {most_rounds} rounds")
     out = left.select("a", "b", "w")
     for t in taken:
         out = out.union(t)
     return out
 
 
-def topological_levels(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """(node, level) over directed edges: 0 without a way in, else one more than the highest before it. Nodes on or
     behind a cycle are left out, so a graph without cycles has as many rows as nodes."""
     left = checkpointed(edges.select("a", "b").na.drop().distinct())
     nodes = checkpointed(left.select(F.col("a").alias("node")).union(left.select("b")).distinct())
     levels = None
-    for k in range(most_rounds):
+    for k in count():
         free = checkpointed(nodes.join(left.select(F.col("b").alias("node")), "node", "left_anti").withColumn("level", F.lit(k)))
         if free.isEmpty():
             return free if levels is None else levels
         levels = free if levels is None else checkpointed(levels.union(free))
         nodes = checkpointed(nodes.join(free, "node", "left_anti"))
         left = checkpointed(left.join(free.select(F.col("node").alias("a")), "a", "left_anti"))
-    raise RuntimeError(f"more than {most_rounds} levels")

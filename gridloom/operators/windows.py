@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from gridloom.operators import running
+
 
 def ordered(partition: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*partition).orderBy(*order)
@@ -78,19 +80,29 @@ def rank(c: str, partition: list[str], method: str = "average") -> Column:
     return _where_known(c, made[method].cast("double"))
 
 
-def zscore(c: str, partition: list[str]) -> Column:
-    w = Window.partitionBy(*partition)
-    std = F.stddev_samp(c).over(w)
-    return F.when(std == 0, F.lit(0.0)).otherwise((F.col(c) - F.avg(c).over(w)) / std)
+def _beside(df: DataFrame, keys: list[str], made: dict[str, Column]) -> DataFrame:
+    """df with one row of aggregates a group joined to its rows, so that a large group stays where it lies."""
+    if not keys:
+        return df.join(F.broadcast(df.agg(*(v.alias(k) for k, v in made.items()))))
+    ends = df.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(*(v.alias(k) for k, v in made.items()))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(ends, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+
+
+def zscore(df: DataFrame, c: str, out: str, keys: list[str] = ()) -> DataFrame:
+    """(x - mean) / sample deviation of the group, 0 without any."""
+    some = _beside(df, list(keys), {"__m": F.avg(c), "__s": F.stddev_samp(c)})
+    return some.withColumn(out, F.when(F.col("__s") == 0, F.lit(0.0)).otherwise((F.col(c) - F.col("__m")) / F.col("__s"))).drop("__m", "__s")
 
 
-def normalize(c: str, partition: list[str], method: str = "minmax") -> Column:
-    w = Window.partitionBy(*partition)
-    if method == "maxabs":
-        top = F.max(F.abs(c)).over(w)
-        return F.when(top == 0, F.lit(0.0)).otherwise(F.col(c) / top)
-    low, high = F.min(c).over(w), F.max(c).over(w)
-    return F.when(high == low, F.lit(0.0)).otherwise((F.col(c) - low) / (high - low))
+def normalize(df: DataFrame, c: str, out: str, keys: list[str] = (), method: str = "minmax") -> DataFrame:
+    """Between 0 and 1 by the group's ends, or by its greatest absolute value (maxabs)."""
+    some = _beside(df, list(keys), {"__a": F.min(c).cast("double"), "__b": F.max(c).cast("double"), "__t": F.max(F.abs(c)).cast("double")})
+    low, high, top = F.col("__a"), F.col("__b"), F.col("__t")
+    made = F.when(top == 0, F.lit(0.0)).otherwise(F.col(c) / top) if method == "maxabs" else F.when(high == low, F.lit(0.0)).otherwise((F.col(c) - low) / (high - low))
+    return some.withColumn(out, made).drop("__a", "__b", "__t")
 
 
 def clip(c: str, low: float, high: float) -> Column:
@@ -128,9 +140,12 @@ def _interpolated(c: str, w: WindowSpec) -> Column:
     return F.coalesce(F.col(c).cast("double"), v0 + (v1 - v0) * (F.col("__at") - p0) / F.nullif(p1 - p0, F.lit(0)), v0, v1)
 
 
-def interpolate(df: DataFrame, c: str, out: str, partition: list[str], order: list[str]) -> DataFrame:
-    """Linear by the number of rows; beyond the known values the nearest."""
+def interpolate(df: DataFrame, c: str, out: str, partition: list[str], order: list[str], method: str = "linear") -> DataFrame:
+    """Linear by the number of rows, beyond the known values the nearest; or the last known value before (forward), or the
+    next one after (backward)."""
     w = ordered(partition, order)
+    if method != "linear":
+        return df.withColumn(out, {"forward": forward_fill, "backward": backward_fill}[method](c, w).cast("double"))
     return df.withColumn("__at", F.row_number().over(w)).withColumn(out, _interpolated(c, w)).drop("__at")
 
 
@@ -146,7 +161,7 @@ def is_peak(c: str, w: WindowSpec) -> Column:
 
 def outlier_iqr(df: DataFrame, c: str, k: float, out: str) -> DataFrame:
     """Whether a value lies over k interquartile ranges beyond the quartiles."""
-    ends = df.agg(F.percentile(c, F.lit(0.25)).alias("__a"), F.percentile(c, F.lit(0.75)).alias("__b"))
+    ends = running.quantile_row(df, [c], [0.25, 0.75]).select(F.col(c)[0].alias("__a"), F.col(c)[1].alias("__b"))
     far = (F.col(c) < F.col("__a") - k * (F.col("__b") - F.col("__a"))) | (F.col(c) > F.col("__b") + k * (F.col("__b") - F.col("__a")))
     return df.join(F.broadcast(ends)).withColumn(out, F.coalesce(far, F.lit(False))).drop("__a", "__b")
 

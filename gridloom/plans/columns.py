@@ -45,10 +45,9 @@ def _(t):
     return df.na.drop(subset=["k"]).na.fill(-1.0, ["filled"]).select("event_id", "filled")
 
 
-@query("one_hot_mktsegment", """
-SELECT c_custkey, c_mktsegment = 'AUTOMOBILE' AS c_mktsegment_AUTOMOBILE, c_mktsegment = 'BUILDING' AS c_mktsegment_BUILDING FROM customer""")
+@query("one_hot_mktsegment", "SELECT c_custkey, " + ", ".join(f"c_mktsegment = '{v}' AS c_mktsegment_{v}" for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer")
 def _(t):
-    return frame.one_hot_encode(t("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["AUTOMOBILE", "BUILDING"])
+    return frame.one_hot_encode(t("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
 
 
 @query("category_codes", "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS c_mktsegment_code FROM customer")
@@ -56,10 +55,10 @@ def _(t):
     return frame.category_codes(t("customer"), "c_mktsegment").select("c_custkey", "c_mktsegment_code")
 
 
-@query("profile_customer", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM customer" for c in ("c_custkey", "c_nationkey", "c_acctbal")))
+@query("profile_customer", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(skewness({c}), 4) AS skew FROM customer" for c in ("c_custkey", "c_nationkey", "c_acctbal")))
 def _(t):
     out = frame.profile(t("customer"))
-    return out.select("column", "count", "null_count", "unique_count", *(F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std")))
+    return out.select("column", "count", "null_count", "unique_count", *(F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std", "skew")))
 
 
 @query("dot_product", "SELECT c_custkey, round(c_acctbal * 2.0 + c_nationkey * 0.5, 4) AS col_0, round(c_acctbal * -1.0, 4) AS col_1 FROM customer")

@@ -5,19 +5,19 @@ from pyspark.sql import functions as F
 from gridloom.functions import distributions as D
 from gridloom.functions import finance, signals
 from gridloom.functions import statistics as S
-from gridloom.operators import graphs, learning, neighbours
+from gridloom.operators import learning, neighbours
 from gridloom.operators.windows import ordered
-from gridloom.plans.models import _BOTH, _mixed
 from gridloom.registry import query
 from gridloom.streaming import filters
 
 
 @query("chi_square_p", """
-WITH n AS (SELECT o_orderstatus a, o_orderpriority b, count(*)::DOUBLE o FROM orders GROUP BY 1, 2), r AS (SELECT a, sum(o) r FROM n GROUP BY 1), c AS (SELECT b, sum(o) c FROM n GROUP BY 1), t AS (SELECT sum(o) t FROM n)
-SELECT round(sum(pow(coalesce(o, 0) - r * c / t, 2) / (r * c / t)), 6) AS chi2, (count(DISTINCT r.a) - 1) * (count(DISTINCT c.b) - 1) AS dof FROM r, c, t LEFT JOIN n ON n.a = r.a AND n.b = c.b""")
+WITH n AS (SELECT o_orderstatus a, o_orderpriority b, count(*)::DOUBLE o FROM orders GROUP BY 1, 2), r AS (SELECT a, sum(o) r FROM n GROUP BY 1), c AS (SELECT b, sum(o) c FROM n GROUP BY 1), t AS (SELECT sum(o) t FROM n),
+s AS (SELECT sum(pow(coalesce(o, 0) - r * c / t, 2) / (r * c / t)) AS x, (count(DISTINCT r.a) - 1) * (count(DISTINCT c.b) - 1) AS dof FROM r, c, t LEFT JOIN n ON n.a = r.a AND n.b = c.b)
+SELECT round(x, 6) AS chi2, dof, round(exp(-x / 2) * list_sum(list_transform(range(dof // 2), lambda i: pow(x / 2, i) / factorial(i::INTEGER))), 9) AS p FROM s""")
 def _(t):
     s = S.chi_square(t("orders"), "o_orderstatus", "o_orderpriority")
-    return s.where(D.above("chi2", F.col("chi2"), F.col("dof")).between(0, 1)).select(F.round("chi2", 6).alias("chi2"), "dof")
+    return s.select(F.round("chi2", 6).alias("chi2"), "dof", F.round(D.above("chi2", F.col("chi2"), F.col("dof")), 9).alias("p"))
 
 
 @query("chi2_two_degrees", "SELECT p_partkey, round(1 - exp(-p_size / 2.0), 9) AS p FROM part")
@@ -90,37 +90,6 @@ def _(t):
     return neighbours.density(t("events"), "value", [10, 50, 90], 5.0).withColumn("density", F.round("density", 9))
 
 
-@query("graph_components", f"""
-WITH RECURSIVE e AS {_BOTH}, d AS (SELECT a, b FROM e WHERE a % 11 = b % 11), r AS (SELECT a AS node, a AS c FROM d UNION SELECT d.b, r.c FROM r JOIN d ON r.node = d.a)
-SELECT node, min(c) AS component FROM r GROUP BY 1""")
-def _(t):
-    return graphs.connected_components(_mixed(t).where("a % 11 = b % 11"))
-
-
-@query("graph_cycles", f"WITH e AS {_BOTH} SELECT (SELECT count(DISTINCT a) FROM e) AS nodes, (SELECT count(*) FROM e WHERE a < b) AS edges FROM (SELECT 1)")
-def _(t):
-    return graphs.cycles(_mixed(t)).select("nodes", "edges")
-
-
-@query("graph_bipartite")
-def _(t):
-    return graphs.bipartite(_mixed(t).where("a % 11 = b % 11"))
-
-
-@query("graph_spanning_forest")
-def _(t):
-    return graphs.spanning_forest(_mixed(t).withColumn("w", (F.col("a") * 31 + F.col("b") * 17) % 97))
-
-
-@query("graph_levels", """
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 40 AS a, o_orderkey % 40 AS b FROM orders WHERE o_custkey % 40 < o_orderkey % 40 AND (o_custkey + o_orderkey) % 5 = 0),
-n AS (SELECT a AS node FROM e UNION SELECT b FROM e), r AS (SELECT node, 0 AS level FROM n UNION SELECT e.b, r.level + 1 FROM r JOIN e ON r.node = e.a)
-SELECT node, max(level) AS level FROM r GROUP BY 1""")
-def _(t):
-    some = t("orders").where("o_custkey % 40 < o_orderkey % 40 and (o_custkey + o_orderkey) % 5 = 0")
-    return graphs.topological_levels(some.select((F.col("o_custkey") % 40).alias("a"), (F.col("o_orderkey") % 40).alias("b")))
-
-
 @query("min_max", "SELECT c_custkey, round((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()), 6) AS c_acctbal FROM customer")
 def _(t):
     return learning.min_max(t("customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]).withColumn("c_acctbal", F.round("c_acctbal", 6))
@@ -163,10 +132,13 @@ def _(t):
     return learning.ndcg(df, ["l_suppkey"], "g", "l_extendedprice", "tie", 10).withColumn("ndcg", F.round("ndcg", 6))
 
 
-@query("cross_validation")
+@query("cross_validation", """
+WITH d AS (SELECT ('0x' || substr(md5('0:' || (l_orderkey * 10 + l_linenumber)), 1, 15))::BIGINT % 3 AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem), k AS (SELECT unnest([0, 1, 2]) AS k),
+m AS (SELECT k, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM d, k WHERE fold <> k GROUP BY 1)
+SELECT CAST(k AS INTEGER) AS fold, round(avg(pow(y - s * x - i, 2)), 0) AS mse, round(sqrt(avg(pow(y - s * x - i, 2))), 3) AS rmse, round(avg(abs(y - s * x - i)), 3) AS mae, round(1 - avg(pow(y - s * x - i, 2)) / var_pop(y), 6) AS r2 FROM d JOIN m ON fold = k GROUP BY 1""")
 def _(t):
     df = t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_quantity", "l_extendedprice")
-    return learning.cross_validate(df, "linear", ["l_quantity"], "l_extendedprice", "id", 3, learning.regression_measures("l_extendedprice", "prediction"))
+    return learning.cross_validate(df, "linear", ["l_quantity"], "l_extendedprice", "id", 3, learning.regression_measures("l_extendedprice", "prediction")).select("fold", *(F.round(c, d).alias(c) for c, d in (("mse", 0), ("rmse", 3), ("mae", 3), ("r2", 6))))
 
 
 @query("false_discoveries", """
@@ -200,7 +172,11 @@ def _(t):
     return S.bootstrap_mean(t("customer"), "c_acctbal", "c_custkey", 100)
 
 
-@query("internal_rates")
+@query("internal_rates", """
+WITH RECURSIVE f AS (SELECT o_orderpriority AS p, o_custkey % 12 AS t, sum(CASE WHEN o_custkey % 12 = 0 THEN -8 * o_totalprice ELSE o_totalprice END) AS f FROM orders GROUP BY 1, 2), l AS (SELECT p, list({'t': t, 'f': f}) AS l FROM f GROUP BY 1),
+r AS (SELECT 0 AS i, p, l, -0.9::DOUBLE AS lo, 10.0::DOUBLE AS hi FROM l UNION ALL SELECT i + 1, p, l, CASE WHEN v > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN v > 0 THEN hi ELSE (lo + hi) / 2 END
+FROM (SELECT *, list_sum(list_transform(l, lambda x: x.f / pow(1 + (lo + hi) / 2, x.t))) AS v FROM r WHERE i < 60))
+SELECT p AS o_orderpriority, round((lo + hi) / 2, 6) AS rate FROM r WHERE i = 60""")
 def _(t):
     df = t("orders").select("o_orderpriority", (F.col("o_custkey") % 12).alias("period"), F.when(F.col("o_custkey") % 12 == 0, -8 * F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("flow"))
     return finance.internal_rate(df, ["o_orderpriority"], "flow", "period").withColumn("rate", F.round("rate", 6))
@@ -221,7 +197,10 @@ def _(t):
     return t("part").select("p_partkey", F.round(finance.bond_price(F.col("p_retailprice"), F.lit(0.04), F.lit(0.05), F.col("p_size")), 6).alias("price"))
 
 
-@query("kalman_events")
+@query("kalman_events", """
+WITH e AS (SELECT event_type, event_id, list({'m': value::DOUBLE, 'v': 1.0::DOUBLE, 'x': value::DOUBLE}) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS l FROM events),
+s AS (SELECT event_type, event_id, list_reduce(l, lambda a, e: {'m': a.m + (a.v + 0.01) / (a.v + 1.01) * (e.x - a.m), 'v': (a.v + 0.01) / (a.v + 1.01), 'x': e.x}) AS s FROM e)
+SELECT event_type, event_id, round(s.m, 6) AS estimate, round(s.v, 6) AS variance FROM s""")
 def _(t):
     made = filters.kalman(t("events"))
     return made.select(F.col("key").alias("event_type"), F.col("id").alias("event_id"), F.round("estimate", 6).alias("estimate"), F.round("variance", 6).alias("variance"))

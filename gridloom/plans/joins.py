@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from gridloom.operators import joins as J
 from gridloom.registry import query
 
-_RICH = "(SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_acctbal > 0)"
-_BIG = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000)"
+_RICH = "(SELECT c_custkey, c_name, c_nationkey FROM customer)"
+#: Keys are moved on, so that either side has rows without a partner.
+_BIG = "(SELECT o_orderkey, o_custkey + 100 AS o_custkey, o_totalprice FROM orders)"
 
 
 def _sides(t):
-    return t("customer").where("c_acctbal > 0").select("c_custkey", "c_name", "c_nationkey"), t("orders").where("o_totalprice > 200000").select("o_orderkey", "o_custkey", "o_totalprice")
+    return t("customer").select("c_custkey", "c_name", "c_nationkey"), t("orders").select("o_orderkey", (F.col("o_custkey") + 100).alias("o_custkey"), "o_totalprice")
 
 
 for how, sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
@@ -30,12 +31,12 @@ def _(t):
     return J.merge(t("nation").select("n_regionkey", "n_name"), t("nation").select("n_regionkey", "n_name"), ["n_regionkey"])
 
 
-@query("semi_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+@query("semi_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey + 100 FROM orders)")
 def _(t):
     return J.semi_join(t("customer"), _sides(t)[1], "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
-@query("anti_join", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+@query("anti_join", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o_custkey + 100 = c_custkey)")
 def _(t):
     return J.anti_join(t("customer"), _sides(t)[1], "c_custkey", "o_custkey").select("c_custkey", "c_name")
 

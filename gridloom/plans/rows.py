@@ -26,21 +26,6 @@ def _(t):
     return t("events").select("event_id", R.duplicated(["user_id"], ["event_id"]).alias("again")).where("again").select("event_id")
 
 
-@query("sample_exact")
-def _(t):
-    return R.sample(t("orders"), 100, "o_orderkey", seed=3)
-
-
-@query("split_test")
-def _(t):
-    return R.train_test_split(t("orders"), 0.2, "o_orderkey", seed=3)[1]
-
-
-@query("folds")
-def _(t):
-    return t("orders").groupBy(R.fold("o_orderkey", 5).alias("fold")).agg(F.count("*").alias("n"))
-
-
 @query("union_keys", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def _(t):
     return t("customer").select(F.col("c_nationkey").alias("k")).union(t("supplier").select("s_nationkey")).distinct()

@@ -10,8 +10,9 @@ from gridloom.streaming import windows as T
 @query("higher_moments", """
 SELECT l_returnflag, round(skewness(l_extendedprice), 4) AS skew, round(kurtosis(l_extendedprice), 4) AS kurt, round(geometric_mean(l_quantity), 4) AS geo, round(count(*) / sum(1 / l_quantity), 4) AS harm, round(quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25), 4) AS iqr, round(stddev_samp(l_quantity) / avg(l_quantity), 4) AS cv, round(stddev_samp(l_quantity) / sqrt(count(*)), 6) AS se FROM lineitem GROUP BY 1""")
 def _(t):
-    made = {"skew": S.skewness("l_extendedprice"), "kurt": S.kurtosis("l_extendedprice"), "geo": S.geometric_mean("l_quantity"), "harm": S.harmonic_mean("l_quantity"), "iqr": S.iqr("l_quantity"), "cv": S.variation("l_quantity")}
-    return t("lineitem").groupBy("l_returnflag").agg(*(F.round(c, 4).alias(n) for n, c in made.items()), F.round(S.standard_error("l_quantity"), 6).alias("se"))
+    made = {"skew": S.skewness("l_extendedprice"), "kurt": S.kurtosis("l_extendedprice"), "geo": S.geometric_mean("l_quantity"), "harm": S.harmonic_mean("l_quantity"), "cv": S.variation("l_quantity")}
+    moments = t("lineitem").groupBy("l_returnflag").agg(*(F.round(c, 4).alias(n) for n, c in made.items()), F.round(S.standard_error("l_quantity"), 6).alias("se"))
+    return moments.join(S.iqr(t("lineitem"), "l_quantity", ["l_returnflag"]).withColumn("iqr", F.round("iqr", 4)), "l_returnflag")
 
 
 @query("trimmed_mean", "WITH e AS (SELECT quantile_cont(l_extendedprice, 0.1) AS a, quantile_cont(l_extendedprice, 0.9) AS b FROM lineitem) SELECT round(avg(l_extendedprice), 4) AS trimmed_mean FROM lineitem, e WHERE l_extendedprice BETWEEN a AND b")

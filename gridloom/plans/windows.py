@@ -29,12 +29,12 @@ SIMPLE = {
     "pct_change": (lambda w: W.pct_change("v", w), f"(v - lag(v) OVER {_OVER}) / nullif(lag(v) OVER {_OVER}, 0)"),
     "shift_back": (lambda w: W.shift("v", 2, w), f"lag(v, 2) OVER {_OVER}"),
     "shift_ahead": (lambda w: W.shift("v", -1, w), f"lead(v, 1) OVER {_OVER}"),
+    "backward_fill": (lambda w: W.backward_fill("v", w), "first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"),
+    "cumprod": (lambda w: F.ln(W.cumprod("__u", w)), f"CASE WHEN v IS NOT NULL THEN sum(ln(1 + v / 1000)) OVER {_ALL} END"),
     "forward_fill": (lambda w: W.forward_fill("v", w), f"last_value(v IGNORE NULLS) OVER {_ALL}"),
     "moving_average": (lambda w: W.moving_average("v", 5, w), f"avg(v) OVER {_FRAME.format(a=4)}"),
     "median_filter": (lambda w: W.median_filter("v", 5, w), f"quantile_cont(v, 0.5) OVER {_FRAME.format(a=4)}"),
     "drawdown": (lambda w: W.drawdown("v", w), f"(max(v) OVER {_ALL} - v) / nullif(max(v) OVER {_ALL}, 0) * 100"),
-    "zscore": (lambda w: W.zscore("v", ["user_id"]), "CASE WHEN stddev_samp(v) OVER (PARTITION BY user_id) = 0 THEN 0 ELSE (v - avg(v) OVER (PARTITION BY user_id)) / stddev_samp(v) OVER (PARTITION BY user_id) END"),
-    "normalize": (lambda w: W.normalize("v", ["user_id"]), "CASE WHEN min(v) OVER (PARTITION BY user_id) = max(v) OVER (PARTITION BY user_id) THEN 0 ELSE (v - min(v) OVER (PARTITION BY user_id)) / (max(v) OVER (PARTITION BY user_id) - min(v) OVER (PARTITION BY user_id)) END"),
     "clip": (lambda w: W.clip("v", 10.0, 60.0), "CASE WHEN v IS NOT NULL THEN least(greatest(v, 10), 60) END"),
     **{f"rolling_{op}": (lambda w, op=op: W.rolling(op, "v", 7, w), f"CASE WHEN count(v) OVER {_FRAME.format(a=6)} = 7 THEN {f}(v) OVER {_FRAME.format(a=6)} END") for op, f in (("mean", "avg"), ("sum", "sum"), ("min", "min"), ("max", "max"))},
     **{f"expanding_{op}": (lambda w, op=op: W.expanding(op, "v", w), f"CASE WHEN v IS NOT NULL THEN {f}(v) OVER {_ALL} END") for op, f in (("mean", "avg"), ("sum", "sum"), ("var", "var_samp"))},
@@ -42,7 +42,19 @@ SIMPLE = {
 for name, (f, sql) in SIMPLE.items():
     @query(name, f"SELECT event_id, round(CAST({sql} AS DOUBLE) + {_OFF_TIES}, 6) AS out FROM {_GAPS}")
     def _(t, f=f):
-        return _gaps(t).select("event_id", F.round(f(_w()).cast("double") + _OFF_TIES, 6).alias("out"))
+        return _gaps(t).withColumn("__u", 1 + F.col("v") / 1000).select("event_id", F.round(f(_w()).cast("double") + _OFF_TIES, 6).alias("out"))
+
+
+_P = "(PARTITION BY user_id)"
+BESIDE = {
+    "zscore": (lambda df: W.zscore(df, "v", "out", ["user_id"]), f"CASE WHEN stddev_samp(v) OVER {_P} = 0 THEN 0 ELSE (v - avg(v) OVER {_P}) / stddev_samp(v) OVER {_P} END"),
+    "normalize": (lambda df: W.normalize(df, "v", "out", ["user_id"]), f"CASE WHEN min(v) OVER {_P} = max(v) OVER {_P} THEN 0 ELSE (v - min(v) OVER {_P}) / (max(v) OVER {_P} - min(v) OVER {_P}) END"),
+    "normalize_maxabs": (lambda df: W.normalize(df, "v", "out", [], "maxabs"), "v / (SELECT max(abs(CASE WHEN event_id % 10 <> 3 THEN value END)) FROM events)"),
+}
+for name, (f, sql) in BESIDE.items():
+    @query(name, f"SELECT event_id, round(CAST({sql} AS DOUBLE) + {_OFF_TIES}, 6) AS out FROM {_GAPS}")
+    def _(t, f=f):
+        return f(_gaps(t)).select("event_id", F.round(F.col("out").cast("double") + _OFF_TIES, 6).alias("out"))
 
 
 _RANKS = {"dense": "dense_rank() OVER {o}", "min": "rank() OVER {o}", "max": "rank() OVER {o} + count(*) OVER {p} - 1", "average": "rank() OVER {o} + (count(*) OVER {p} - 1) / 2"}
@@ -83,6 +95,7 @@ def _(t):
     return W.outlier_iqr(t("customer"), "c_acctbal", 0.2, "far").where("far").select("c_custkey")
 
 
-@query("ewm_mean")
+@query("ewm_mean", f"""
+SELECT event_id, round(CASE WHEN v IS NOT NULL THEN list_reduce(list(v) FILTER (v IS NOT NULL) OVER {_ALL}, lambda a, x: a * (2.0 / 3)::DOUBLE + x * (1.0 / 3)::DOUBLE) END, 6) AS out FROM (SELECT event_id, user_id, ts, v::DOUBLE AS v FROM {_GAPS})""")
 def _(t):
-    return W.ewm_mean(_gaps(t).select("event_id", "ts", "user_id", "v"), "v", 5, "out", ["user_id"], ORDER)
+    return W.ewm_mean(_gaps(t).select("event_id", "ts", "user_id", "v"), "v", 5, "out", ["user_id"], ORDER).select("event_id", F.round("out", 6).alias("out"))

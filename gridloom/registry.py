@@ -14,6 +14,8 @@ def query(name: str, sql: str | None = None):
     """Registers f(t) under a name, where t(table) reads a table; sql is the same in DuckDB's SQL."""
 
     def register(f):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = lambda spark, sf_dir: f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
         if sql:
             ORACLES[name] = sql
@@ -22,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from gridloom.plans import aggregation, columns, extras, joins, models, rows, statistics, windows  # noqa: E402, F401
+from gridloom.plans import aggregation, columns, extras, joins, models, more, rows, sampling, statistics, windows  # noqa: E402, F401

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def replay(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -34,9 +38,31 @@ def without_repeats(events: DataFrame, key: str = "event_id", late: str = "1 hou
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
-def last_n(events: DataFrame, n: int, key: str = "event_type", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """The last n events of each key, of a batch: what a bounded buffer that drops the oldest would show."""
-    from pyspark.sql.window import Window
+def last_n(events: DataFrame, n: int, key: str = "event_type", order: tuple[str, str] = ("ts", "event_id"), value: str = "value") -> DataFrame:
+    """The last n events of each key: what a bounded buffer that drops the oldest would show.
+
+    Over a batch, the rows themselves. In a stream, (key, at, id, value) arrays after each micro-batch that brings events
+    of the key, oldest first; the state is n events a key.
+    """
+    if not events.isStreaming:
+        w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+        return events.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+    kind = dict(events.dtypes)[key]
+    some = events.select(F.col(key).alias("key"), F.unix_micros(F.col(order[0]).cast("timestamp")).alias("at"), F.col(order[1]).cast("long").alias("id"), F.col(value).cast("double").alias("value"))
+    fields = ("at", "id", "value")
+
+    def follow(k: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        kept = pd.DataFrame(dict(zip(fields, held.get, strict=True))) if held.exists else None
+        for b in batches:
+            kept = pd.concat([x for x in (kept, b[list(fields)]) if x is not None]).sort_values(["at", "id"]).tail(n)
+        lists = tuple(kept[f].tolist() for f in fields)
+        held.update(lists)
+        yield pd.DataFrame({"key": [k[0]], **{f: [v] for f, v in zip(fields, lists, strict=True)}})
+
+    arrays = "at array<long>, id array<long>, value array<double>"
+    return some.groupBy("key").applyInPandasWithState(follow, f"key {kind}, {arrays}", arrays, "update", "NoTimeout")
+
 
-    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
-    return events.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+def enriched(events: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Each event with its row of a table that doesn't change, nulls where there is none; in a stream, batch by batch."""
+    return events.join(table, key, "left")
