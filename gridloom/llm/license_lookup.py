@@ -111,6 +111,8 @@ KNOWN = _SHORT + tuple(
     for form in _forms(name, text)
     if form not in _SHORT
 )
+#: Rows of one text are dealt to so many shares.
+SHARES = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything but a-z, 0-9 and letters beyond ASCII; dashes and quotation marks are punctuation too.
 OTHER = r"[^a-z0-9\x{80}-\x{10FFFF}]+|[\x{A0}\x{A9}\x{AE}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{3000}]+"
@@ -152,6 +154,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     lines = rows.select(F.coalesce(F.sha2("text", 256), F.lit("")).alias("th"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     noted = lines.select("th", digest(F.col("line")).alias("digest")).join(by_digest, "digest")
     noted = noted.groupBy("th").agg(F.array_sort(F.collect_set("license")).alias("notices"))
-    # By sorting, as nothing bounds how many texts have such lines; a frequent text is one row on the right.
-    found = whole.join(by_digest, "digest", "left").join(noted.hint("merge"), "th", "left")
+    # By sorting, as nothing bounds how many texts have such lines. Copies of one text are dealt out by their ids, and what was
+    # found in it is there for each share, so that no task gets a whole group of copies.
+    whole = whole.join(by_digest, "digest", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)), F.lit(0)).cast("int"))
+    noted = noted.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    found = whole.join(noted.hint("merge"), ["th", "share"], "left")
     return found.select("doc_id", "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
