@@ -82,3 +82,10 @@ def convolve(df: DataFrame, c: str, keys: list[str], order: list[str], taps: lis
     rows = df.select(*keys, F.col(c).cast("double").alias("__x"), (F.row_number().over(w) - 1).alias("__at"))
     spread = rows.select(*keys, "__at", "__x", F.posexplode(F.array(*(F.lit(float(t)) for t in taps))).alias("__i", "__tap"))
     return spread.groupBy(*keys, (F.col("__at") + F.col("__i")).alias("at")).agg(F.sum(F.col("__x") * F.col("__tap")).alias("y"))
+
+
+def onsets(df: DataFrame, c: str, keys: list[str], order: list[str], width: int, times: float) -> DataFrame:
+    """The rows where the energy over the last rows is more than `times` that of one row before."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    e = df.withColumn("__e", energy(c, width, w))
+    return e.withColumn("__b", F.lag("__e").over(w)).where(F.col("__e") > times * F.col("__b")).drop("__e", "__b")
