@@ -35,6 +35,8 @@ LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: Code points that are looked at at a time.
 BLOCK = 1 << 18
+#: Codewords whose costs differ by no more tie.
+TIE = 1e-6
 #: More languages than this aren't told apart by one model.
 MOST_LANGUAGES = 500
 
@@ -89,7 +91,7 @@ class CodeModel:
         for at in range(0, len(with_letter), 256):
             rows = with_letter[at : at + 256]
             loss = self.losses(np.stack([ngram_counts(texts[i], self.buckets) for i in rows]).astype(float))
-            best, cost[rows] = loss.argmin(1), loss.min(1)
+            best, cost[rows] = (loss <= loss.min(1, keepdims=True) + TIE).argmax(1), loss.min(1)
             p = np.exp(loss.min(1, keepdims=True) - loss)
             p /= p.sum(1, keepdims=True)
             top = np.sort(p, axis=1)

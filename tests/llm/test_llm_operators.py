@@ -530,6 +530,49 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir, tmp_path):
     assert {r["doc_id"] for r in rows} == set(kept) and used <= least + 1
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+def written(spark, folder, docs, labels):
+    spark.createDataFrame(docs, DOCUMENTS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = written(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table(spark, folder, "documents"), folder).count() == 0
+
+
+def test_pipeline_of_odd_rows_without_labels(spark, tmp_path):
+    """Null ids and texts, repeated rows, no labels: all with a letter are one language and stay, but near-duplicates."""
+    import corpus_pipeline
+
+    texts = [t for t in odd_texts() if t is None or len(t) < 9000]
+    docs = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, "no id at all here", "en", "s", 1), (5, texts[5], "en", "s", 1), (5, texts[5], "en", "s", 1)]
+    folder, frame = written(spark, tmp_path, docs, []), None
+    frame = table(spark, folder, "documents")
+    assert corpus_pipeline.quality(spark, frame, folder).count() == len(docs)
+    kept = corpus_pipeline.language(spark, frame, folder)
+    assert {r["doc_id"] for r in kept.collect()} <= {d[0] for d in docs if d[1] and language_id.LETTER.search(d[1])}
+    once = corpus_pipeline.near_duplicates(spark, frame, folder).collect()
+    assert [r["doc_id"] for r in once].count(5) == 1 and [r["doc_id"] for r in once].count(None) == 1
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
+def test_language_ties_go_to_the_first(spark):
+    text = "the same words in both of them"
+    rows = spark.createDataFrame([(i, text, ("bb", "aa")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    model = language_id.fit(rows, F.col("lang"), F.lit(True), buckets=256)
+    found = language_id.predict(rows, model).collect()
+    assert {r["lang_pred"] for r in found} == {"aa"} and {r["ambiguous"] for r in found} == {True} and len(found) == 40
+
+
 def test_empty_tables(empty):
     assert simhash_dedup.near_duplicates(empty).count() == 0 and simhash_dedup.keep_one(empty).count() == 0
     assert best_fit_packing.pack(empty, queries.byte_bpe()).count() == 0
