@@ -176,15 +176,15 @@ def ewm_mean(df: DataFrame, c: str, span: int, out: str, partition: list[str], o
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, value = None, None
         for b in batches:
-            made = []
-            for k, x in zip(b[key], b[c], strict=True):
-                if k != at:
-                    at, value = k, None
-                if pd.isna(x):
-                    made.append(None)
-                    continue
-                value = x if value is None else alpha * x + (1 - alpha) * value
-                made.append(value)
-            yield b.drop(columns=key).assign(**{out: pd.Series(made, dtype="float64", index=b.index)})
+            made = pd.Series(float("nan"), index=b.index)
+            for k, run in b.groupby(key, sort=False)[c]:
+                known, value = run.dropna().astype(float), value if k == at else None
+                at = k
+                if len(known):
+                    # The value so far goes in front, as pandas starts from the first value it is given.
+                    means = (known if value is None else pd.concat([pd.Series([value]), known])).ewm(alpha=alpha, adjust=False).mean()
+                    made[known.index] = means.to_numpy()[-len(known) :]
+                    value = float(means.iloc[-1])
+            yield b.drop(columns=key).assign(**{out: made})
 
     return rows.mapInPandas(of, ", ".join(f"{n} {t}" for n, t in df.dtypes) + f", {out} double")
