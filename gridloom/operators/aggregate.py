@@ -59,8 +59,7 @@ def group_by(df: DataFrame, keys: list[str], op: str, columns: list[str] | None
 def transform(df: DataFrame, keys: list[str], op: str, columns: list[str]) -> DataFrame:
     """The group's value beside each row; null for rows with a null key. One row a group is made first and joined back, so
     that a large group stays where it lies."""
-    made = group_by(df, keys, op, columns).drop(*(c for c in columns if c in keys))
-    return df.join(made, keys, "left").select(*df.columns, *(f"{c}_{op}" for c in columns))
+    return df.join(group_by(df, keys, op, columns), keys, "left").select(*df.columns, *(f"{c}_{op}" for c in columns))
 
 
 def pivot_table(df: DataFrame, values: str, index: str, columns: str, op: str, known: list | None = None) -> DataFrame:
