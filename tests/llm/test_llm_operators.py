@@ -565,6 +565,40 @@ def test_pipeline_of_odd_rows_without_labels(spark, tmp_path):
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
 
 
+def test_language_decoding_by_brute_force(spark):
+    """n-grams, losses and scores of a model, counted one by one in plain Python."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = language_id.fit(docs, F.col("lang"), ~held_out(), per_language=30, buckets=1024)
+    mask, texts = (1 << 64) - 1, ["The rest of it.", "und die", "é", "x" * 500, "日本 12"]
+    lang, score, unsure = model.predict(texts)
+    for i, t in enumerate(texts):
+        counts, code = [0] * 1024, [32, *map(ord, t.lower()), 32]
+        for n in (1, 2, 3):
+            for k in range(len(code) - n + 1):
+                h = 0
+                for c in code[k : k + n]:
+                    h = (h * 0x100000001B3 + c + 1) * 0x9E3779B97F4A7C15 & mask
+                counts[h >> 54] += 1
+        share = [(c / sum(counts)) ** 0.5 for c in counts]
+        margin = [sum(s * w for s, w in zip(share, model.weights[:, b], strict=True)) + model.bias[b] for b in range(model.codes.shape[1])]
+        loss = [sum(np.log1p(np.exp(-m * c)) * w for m, c, w in zip(margin, code_, model.trust, strict=True)) for code_ in model.codes]
+        p = sorted((np.exp(min(loss) - x) / sum(np.exp(min(loss) - y) for y in loss) for x in loss), reverse=True)
+        assert lang[i] == model.languages[int(np.argmin(loss))] and score[i] == pytest.approx(p[0], abs=1e-4)
+        assert unsure[i] == (p[0] - p[1] < 0.2) or abs(p[0] - p[1] - 0.2) < 1e-3
+
+
+def test_quality_scores_by_brute_force():
+    """A score is the sum of looked-up numbers, through the logistic function."""
+    rng = np.random.default_rng(1)
+    x = rng.random((400, 4))
+    model = quality_gam.boost(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), bins=6, rounds=10, pairs=2, pair_rounds=5)
+    found = model.scores(x)
+    for i in range(0, 400, 7):
+        at = [sum(e <= v for e in edges) for v, edges in zip(x[i], model.edges, strict=True)]
+        total = model.base + sum(t[k] for t, k in zip(model.tables, at, strict=True)) + sum(t[at[a]][at[b]] for t, (a, b) in zip(model.pair_tables, model.pairs, strict=True))
+        assert found[i] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_language_ties_go_to_the_first(spark):
     text = "the same words in both of them"
     rows = spark.createDataFrame([(i, text, ("bb", "aa")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
