@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridloom.operators import aggregate as A
+from gridloom.operators import running
 from gridloom.registry import query
 
 
@@ -59,7 +60,9 @@ def _(t):
 
 @query("quantiles_by_flag", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1")
 def _(t):
-    return t("lineitem").groupBy("l_returnflag").agg(*(F.round(F.percentile("l_extendedprice", F.lit(q)), 4).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p99", 0.99))))
+    found = running.quantiles(t("lineitem"), ["l_extendedprice"], [0.05, 0.5, 0.99], ["l_returnflag"])
+    at = lambda q: F.round(F.max(F.when(F.col("share") == q, F.col("value"))), 4)
+    return found.groupBy("l_returnflag").agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.99).alias("p99"))
 
 
 _C = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
