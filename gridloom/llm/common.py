@@ -46,6 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """left joined to right, which has one row for each key, however often a key stands in left: keys with over 1/most of
+    left's rows, of which there are fewer than `most`, are joined by broadcast, the rest by shuffle. Null keys join nothing."""
+    counts = left.groupBy(key).agg(F.count("*").alias("__n"))
+    limit = (counts.agg(F.sum("__n")).first()[0] or 0) / most
+    if limit < 1:
+        return left.join(right, key)
+    hot = F.broadcast(right.join(F.broadcast(counts.where(F.col("__n") > limit).select(key)), key, "left_semi"))
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(right, key))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that isn't needed any more, wherever Spark can reach it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the fold kept for evaluation: crc32 of the id as text, modulo 5, is 0. A null id is not held out."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

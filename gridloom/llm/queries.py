@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import best_fit_packing, bloom_fingerprint, bpe_dynamic, exact_topk, html_extraction, language_id, license_lookup, quality_gam, simhash_dedup, token_counts
-from gridloom.llm.common import held_out, table
+from gridloom.llm import best_fit_packing, bloom_fingerprint, bpe_dynamic, exact_topk, exponion_clusters, html_extraction, language_id, license_lookup, merkle_manifest, quality_gam, simhash_dedup, token_counts, warc
+from gridloom.llm.common import held_out, remove, shared_folder, table
 
 
 @cache
@@ -71,6 +72,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), capacity=2048)
 
 
+def op11_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.captures(table(spark, sf_dir, "pages")), folder)
+    found = warc.resolve(warc.read(spark, folder))  # has read the archives
+    remove(spark, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", _UPPER, _LOWER))
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"), tampered={"text": lowered})
+
+
+def op13_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion_clusters.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,7 +102,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_tag_path_extraction, op2_bloom_fingerprints, op3_output_code_language, op4_simhash_components, op5_viterbi_token_counts,
-        op6_threshold_topk, op7_license_digests, op8_additive_quality, op9_prefix_bpe, op10_best_fit_packing, pipeline,
+        op6_threshold_topk, op7_license_digests, op8_additive_quality, op9_prefix_bpe, op10_best_fit_packing, op11_warc_revisits,
+        op12_merkle_manifest, op13_exponion_clusters, pipeline,
     )
 }
 
@@ -110,6 +132,32 @@ def _canonical(x: str) -> str:
         '#copyright#,#holder#', '#copyright#,#owner#'), '#copyright#,#holders#', '#copyright#,#owners#'), '#', ''), ','), ' ')"""
 
 
+def _clusters(k: int, rounds: int, scale: int) -> str:
+    """DuckDB's SQL for centroid clusters: all vectors against all centroids, round by round."""
+    steps = f"""
+        v AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j, v AS c FROM v QUALIFY j < {k})"""
+    for i in range(rounds + 1):
+        steps += f""", a{i} AS MATERIALIZED (
+            SELECT row, vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda p: CAST((p[1] - p[2]) * (p[1] - p[2]) AS HUGEINT))) AS d
+            FROM v, c{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, j) = 1)"""
+        if i < rounds:
+            steps += f""", m{i} AS (
+                SELECT j, list(CAST(floor(s / n) AS BIGINT) - CASE WHEN floor(s / n) * n > s THEN 1 ELSE 0 END ORDER BY i) AS c
+                FROM (SELECT j, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY j, i) GROUP BY j
+            ), c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m USING (j))"""
+    return f"""WITH {steps}
+        SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+            CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (j)"""
+
+
+def _leaf(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || {v}, '-')" for v in values) + ")"
+
+
 _KNOWN = ", ".join(f"({_text(name)}, {_text(text)})" for name, text in license_lookup.KNOWN)
 ORACLES = {
     "op6_threshold_topk": """
@@ -139,4 +187,53 @@ ORACLES = {
         )
         SELECT s.doc_id, s.digest, k.license, coalesce(n.notices, '') AS notices
         FROM scanned s LEFT JOIN known k ON s.digest = k.digest LEFT JOIN noted n ON s.doc_id = n.doc_id""",
+    "op11_warc_revisits": """
+        WITH p AS (
+            SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+        ), coded AS (
+            SELECT page_id, url, strlen(html) AS n, h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31), 1)), '') AS digest FROM p
+        ), placed AS (
+            SELECT *, row_number() OVER w AS nth, first_value(page_id) OVER w AS original FROM coded
+            WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST)
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN nth > 1 THEN original END AS refers_to FROM placed""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE rows AS MATERIALIZED (
+            SELECT doc_id, coalesce(':' || lang, '-') AS tree, {_leaf("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+                -- zlib's crc32 of the id, bit by bit
+                (list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x:
+                    list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))) AS c,
+                {_leaf("doc_id", "source", "lang", "n_chars", f"translate(text, '{_UPPER}', '{_LOWER}')")} AS lowered
+            FROM documents
+        ), leaves AS MATERIALIZED (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM rows
+        ), climb AS (
+            SELECT 0 AS level, tree, pos, leaf AS node, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+            UNION ALL
+            SELECT any_value(level) + 1, tree, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8) FROM climb WHERE n > 1 GROUP BY tree, pos // 8
+        ), subroots AS MATERIALIZED (
+            SELECT tree, level AS depth, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM climb WHERE n = 1
+        ), top AS (
+            SELECT 0 AS level, pos, node, n FROM subroots
+            UNION ALL
+            SELECT any_value(level) + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), any_value((n + 7) // 8) FROM top WHERE n > 1 GROUP BY pos // 8
+        ), beside AS MATERIALIZED (
+            SELECT tree, level, pos, coalesce(string_agg(node, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+                coalesce(string_agg(node, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a
+            FROM (SELECT level, tree, pos, node FROM climb WHERE n > 1 UNION ALL SELECT level, '', pos, node FROM top WHERE n > 1)
+            WINDOW r AS (PARTITION BY tree, level, pos // 8 ORDER BY pos)
+        ), fold AS (
+            SELECT 0 AS level, row_number() OVER () AS row, l.tree, l.pos, 0 AS above, CASE WHEN xor(l.c, 4294967295) % 3 = 0 THEN l.lowered ELSE l.leaf END AS node, '' AS proof,
+                s.tree AS name, s.depth, s.pos AS place, l.doc_id, l.leaf, s.node AS subroot FROM leaves l JOIN subroots s ON l.tree = s.tree
+            UNION ALL
+            SELECT f.level + 1, f.row, f.tree, CASE WHEN f.level < f.depth THEN f.pos // 8 ELSE f.pos END, f.above + CASE WHEN f.level < f.depth THEN 0 ELSE 1 END,
+                sha256(b.b || f.node || b.a), f.proof || b.b || b.a, f.name, f.depth, CASE WHEN f.level < f.depth THEN f.place ELSE f.place // 8 END, f.doc_id, f.leaf, f.subroot
+            FROM fold f JOIN beside b ON b.tree = CASE WHEN f.level < f.depth THEN f.tree ELSE '' END AND b.level = CASE WHEN f.level < f.depth THEN f.level ELSE f.above END
+                AND b.pos = CASE WHEN f.level < f.depth THEN f.pos ELSE f.place END
+        )
+        SELECT doc_id, leaf, subroot, (SELECT node FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = (SELECT node FROM top WHERE n = 1) AS verified
+        FROM fold QUALIFY row_number() OVER (PARTITION BY row ORDER BY level DESC) = 1""",
+    "op13_exponion_clusters": _clusters(16, 3, 64),
 }
