@@ -7,7 +7,9 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import WindowSpec
+
+from gridloom.operators import scans
 
 
 def fir(c: str, taps: list[float], w: WindowSpec) -> Column:
@@ -59,18 +61,25 @@ def energy(c: str, width: int, w: WindowSpec) -> Column:
 
 def autocorrelation(df: DataFrame, c: str, keys: list[str], order: list[str], lag: int) -> DataFrame:
     """(keys, autocorrelation): centred products with the value `lag` rows before, over n times the variance."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("x"), F.lag(F.col(c).cast("double"), lag).over(w).alias("y"))
-    pair, m, n = F.col("y").isNotNull(), F.avg("x"), F.count("x")
-    top = F.sum(F.col("x") * F.col("y")) - m * (F.sum(F.when(pair, F.col("x"))) + F.sum("y")) + F.count("y") * m * m
-    return rows.groupBy(*keys).agg(F.try_divide(top, n * F.var_pop("x")).alias("autocorrelation"))
+    known = df.where(F.col(c).isNotNull()).select(*keys, *(x for x in order if x not in keys), F.col(c).cast("double").alias("__x"))
+    rows = scans.framed(known, {"__y": lambda w: F.lag("__x", lag).over(w)}, keys, order, before=lag)
+    x, y, m, n = F.col("__x"), F.col("__y"), F.avg("__x"), F.count("__x")
+    top = F.sum(x * y) - m * (F.sum(F.when(y.isNotNull(), x)) + F.sum(y)) + F.count(y) * m * m
+    return rows.groupBy(*keys).agg(F.try_divide(top, n * F.var_pop(x)).alias("autocorrelation"))
+
+
+def _placed(df: DataFrame, c: str, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, __x, __at, __n): the values, their places from 0 and how many rows their key has, in ranges of each key."""
+    rows = df.select(*keys, *(x for x in order if x not in keys), F.col(c).cast("double").alias("__x"), F.lit(1).alias("__one"))
+    ranges = scans.Ranges(rows, keys, order)
+    both = ranges.accumulated({"__a": ("count", "__one")})
+    both = ranges.accumulated({"__b": ("count", "__one")}, backward=True, rows=both)
+    return both.select(*keys, "__x", (F.col("__a") - 1).alias("__at"), (F.col("__a") + F.col("__b") - 1).alias("__n"))
 
 
 def spectrum(df: DataFrame, c: str, keys: list[str], order: list[str], bins: int) -> DataFrame:
     """(keys, bin, re, im, power) of the first frequencies of each key's Fourier transform, in one aggregate."""
-    w = Window.partitionBy(*keys)
-    at, n = (F.row_number().over(w.orderBy(*order)) - 1).cast("double"), F.count("*").over(w).cast("double")
-    rows = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("__x"), (-2 * math.pi * at / n).alias("__t"))
+    rows = _placed(df.where(F.col(c).isNotNull()), c, keys, order).withColumn("__t", -2 * math.pi * F.col("__at") / F.col("__n"))
     made = [F.struct(F.lit(k).alias("bin"), F.sum(F.col("__x") * F.cos(F.col("__t") * k)).alias("re"), F.sum(F.col("__x") * F.sin(F.col("__t") * k)).alias("im")) for k in range(bins)]
     out = rows.groupBy(*keys).agg(F.array(*made).alias("__s")).select(*keys, F.inline("__s"))
     return out.withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
@@ -78,14 +87,13 @@ def spectrum(df: DataFrame, c: str, keys: list[str], order: list[str], bins: int
 
 def convolve(df: DataFrame, c: str, keys: list[str], order: list[str], taps: list[float]) -> DataFrame:
     """(keys, at, y): the full convolution, len(taps) - 1 rows longer than each key's signal."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.select(*keys, F.col(c).cast("double").alias("__x"), (F.row_number().over(w) - 1).alias("__at"))
+    rows = _placed(df, c, keys, order)
     spread = rows.select(*keys, "__at", "__x", F.posexplode(F.array(*(F.lit(float(t)) for t in taps))).alias("__i", "__tap"))
     return spread.groupBy(*keys, (F.col("__at") + F.col("__i")).alias("at")).agg(F.sum(F.col("__x") * F.col("__tap")).alias("y"))
 
 
 def onsets(df: DataFrame, c: str, keys: list[str], order: list[str], width: int, times: float) -> DataFrame:
     """The rows where the energy over the last rows is more than `times` that of one row before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    e = df.withColumn("__e", energy(c, width, w))
-    return e.withColumn("__b", F.lag("__e").over(w)).where(F.col("__e") > times * F.col("__b")).drop("__e", "__b")
+    mean = lambda w, a, b: F.sqrt(F.avg(F.col(c) * F.col(c)).over(w.rowsBetween(a, b)))
+    made = {"__e": lambda w: mean(w, 1 - width, 0), "__b": lambda w: F.when(F.lag(F.lit(1)).over(w).isNotNull(), mean(w, -width, -1))}
+    return scans.framed(df, made, keys, order, before=width).where(F.col("__e") > times * F.col("__b")).drop("__e", "__b")

@@ -5,9 +5,6 @@ The order should be unique; null values give null and don't stop what runs on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -164,27 +161,3 @@ def outlier_iqr(df: DataFrame, c: str, k: float, out: str) -> DataFrame:
     ends = running.quantile_row(df, [c], [0.25, 0.75]).select(F.col(c)[0].alias("__a"), F.col(c)[1].alias("__b"))
     far = (F.col(c) < F.col("__a") - k * (F.col("__b") - F.col("__a"))) | (F.col(c) > F.col("__b") + k * (F.col("__b") - F.col("__a")))
     return df.join(F.broadcast(ends)).withColumn(out, F.coalesce(far, F.lit(False))).drop("__a", "__b")
-
-
-def ewm_mean(df: DataFrame, c: str, span: int, out: str, partition: list[str], order: list[str]) -> DataFrame:
-    """Exponentially weighted mean, recursive, per key: each value needs the one before, so a key's rows go in order through
-    one function in Arrow batches that carries a single number from batch to batch."""
-    alpha = 2 / (span + 1)
-    key = "__key"
-    rows = df.withColumn(key, F.xxhash64(*partition)).repartition(*partition).sortWithinPartitions(*partition, *order)
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, value = None, None
-        for b in batches:
-            made = pd.Series(float("nan"), index=b.index)
-            for k, run in b.groupby(key, sort=False)[c]:
-                known, value = run.dropna().astype(float), value if k == at else None
-                at = k
-                if len(known):
-                    # The value so far goes in front, as pandas starts from the first value it is given.
-                    means = (known if value is None else pd.concat([pd.Series([value]), known])).ewm(alpha=alpha, adjust=False).mean()
-                    made[known.index] = means.to_numpy()[-len(known) :]
-                    value = float(means.iloc[-1])
-            yield b.drop(columns=key).assign(**{out: made})
-
-    return rows.mapInPandas(of, ", ".join(f"{n} {t}" for n, t in df.dtypes) + f", {out} double")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import distributions as D
 from gridloom.functions import finance, signals
 from gridloom.functions import statistics as S
-from gridloom.operators import learning, neighbours
+from gridloom.operators import learning, neighbours, scans
 from gridloom.operators.windows import ordered
 from gridloom.registry import query
 from gridloom.streaming import filters
@@ -53,7 +53,7 @@ def _(t):
 @query("zero_crossings", "SELECT event_type, count(*) AS n FROM (SELECT event_type, (value - 50 < 0) <> (lag(value - 50) OVER (PARTITION BY event_type ORDER BY ts, event_id) < 0) AS x FROM events) WHERE x GROUP BY 1")
 def _(t):
     df = t("events").withColumn("v", F.col("value") - 50)
-    return df.withColumn("x", signals.crosses_zero("v", ordered(["event_type"], ["ts", "event_id"]))).where("x").groupBy("event_type").agg(F.count("*").alias("n"))
+    return scans.framed(df, {"x": lambda w: signals.crosses_zero("v", w)}, ["event_type"], ["ts", "event_id"], before=1).where("x").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("autocorrelation", """

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridloom.operators import scans
 from gridloom.operators import windows as W
 from gridloom.registry import query
 
@@ -98,4 +99,4 @@ def _(t):
 @query("ewm_mean", f"""
 SELECT event_id, round(CASE WHEN v IS NOT NULL THEN list_reduce(list(v) FILTER (v IS NOT NULL) OVER {_ALL}, lambda a, x: a * (2.0 / 3)::DOUBLE + x * (1.0 / 3)::DOUBLE) END, 6) AS out FROM (SELECT event_id, user_id, ts, v::DOUBLE AS v FROM {_GAPS})""")
 def _(t):
-    return W.ewm_mean(_gaps(t).select("event_id", "ts", "user_id", "v"), "v", 5, "out", ["user_id"], ORDER).select("event_id", F.round("out", 6).alias("out"))
+    return scans.ewm_mean(_gaps(t).select("event_id", "ts", "user_id", "v"), "v", 5, "out", ["user_id"], ORDER).select("event_id", F.round("out", 6).alias("out"))

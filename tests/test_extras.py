@@ -98,7 +98,11 @@ def test_kalman_in_a_stream_equals_batch(spark, tmp_path):
     assert len(batch) == 200
     state = None
     for i, _, _, v in (r for r in made if r[1] == "a"):
-        state = filters.step(state, v, 0.01, 1.0)
+        if state is None or v is None:
+            state = (v, 1.0) if state is None else (state[0], state[1] + 0.01)
+        else:
+            gain = (state[1] + 0.01) / (state[1] + 1.01)
+            state = (state[0] + gain * (v - state[0]), gain)
         assert batch["a", i] == pytest.approx(state)
     q = filters.kalman(replay(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("kalman_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()

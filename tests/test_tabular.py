@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import registry
-from gridloom.operators import aggregate, frame, joins, rows, windows
+from gridloom.operators import aggregate, frame, joins, rows, scans, windows
 from gridloom.sources import files
 from gridloom.streaming import windows as streams
 
@@ -60,7 +60,7 @@ def test_groups_without_null_keys(spark):
 
 def test_ewm_and_interpolation_pass_over_nulls(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([None, 3.0, None, 6.0, 9.0, None])], "p string, i int, v double")
-    assert [r["o"] for r in windows.ewm_mean(df, "v", 3, "o", ["p"], ["i"]).orderBy("i").collect()] == [None, 3.0, None, 4.5, 6.75, None]
+    assert [r["o"] for r in scans.ewm_mean(df, "v", 3, "o", ["p"], ["i"]).orderBy("i").collect()] == [None, 3.0, None, 4.5, 6.75, None]
     assert [r["o"] for r in windows.interpolate(df, "v", "o", ["p"], ["i"]).orderBy("i").collect()] == [3.0, 3.0, 4.5, 6.0, 9.0, 9.0]
 
 
