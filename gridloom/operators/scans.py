@@ -343,7 +343,7 @@ def local_level(df: DataFrame, c: str, out: str, partition: list[str], order: li
     return Ranges(df, partition, order).followed(c, out, LocalLevel(drift, noise), always=True)
 
 
-def _beside_value(df: DataFrame, found: DataFrame, names: list[str], made: Column, out: str, share: int = 1000) -> DataFrame:
+def beside_value(df: DataFrame, found: DataFrame, names: list[str], made: Column, out: str, share: int = 1000) -> DataFrame:
     """df with a column from one row for each value, n of which stand in df; the values with over 1/share of the rows, fewer than
     `share`, are joined by broadcast, the rest by shuffle."""
     told = checkpointed(found.withColumn("__out", made).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(names)), "n", "__out"))
@@ -367,7 +367,7 @@ def rank(df: DataFrame, c: str, out: str, partition: list[str] = (), method: str
     placed = placed.join(starts, Ranges._all([F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)])) if keys else placed.join(F.broadcast(starts))
     low = F.col("before_n") - F.col("__n0")
     made = {"min": low + 1, "max": low + F.col("n"), "average": low + (F.col("n") + 1) / 2, "dense": F.col("before_one") - F.col("__o0") + 1}[method]
-    return _beside_value(df, placed, [*keys, c], made.cast("double"), out)
+    return beside_value(df, placed, [*keys, c], made.cast("double"), out)
 
 
 def qcut(df: DataFrame, c: str, q: int, out: str, order: list[str]) -> DataFrame:

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from gridloom.plans import aggregation, columns, extras, further, joins, models, more, rows, sampling, statistics, whole, windows  # noqa: E402, F401
+from gridloom.plans import aggregation, clusters, columns, extras, further, joins, models, more, rows, sampling, statistics, whole, windows  # noqa: E402, F401
