@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.sources import quoted
+
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", has_header: bool = True, null_value: str = "", keep_strings: bool = False, line_breaks: bool = True) -> DataFrame:
     """A CSV file with quoted fields; a ragged row is an error. Without a header the columns are column_0 and so on.
 
-    line_breaks: whether quoted fields may hold any. If not, large files are cut and read by many tasks.
+    line_breaks: whether quoted fields may hold any. Large files are cut and read by many tasks either way.
     """
-    reader = spark.read.options(sep=delimiter, header=has_header, nullValue=null_value, mode="FAILFAST", multiLine=line_breaks, quote='"', escape='"', inferSchema=not keep_strings)
+    if line_breaks:
+        df = quoted.read(spark, path, delimiter, has_header, null_value)
+        return df if keep_strings or not df.columns else _inferred(df, ("int", *KINDS))
+    reader = spark.read.options(sep=delimiter, header=has_header, nullValue=null_value, mode="FAILFAST", quote='"', escape='"', inferSchema=not keep_strings)
     df = reader.csv(path)
     return df if has_header else df.toDF(*(f"column_{i}" for i in range(len(df.columns))))
 
@@ -24,9 +29,11 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", has_header: b
 MOST_TEXT, MOST_ROWS = 16 << 20, 10_000
 
 
-def _inferred(df: DataFrame) -> DataFrame:
+KINDS = ("bigint", "double", "boolean")
+
+
+def _inferred(df: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Columns of text as the narrowest type that all their values have: whole numbers, numbers, booleans, or text."""
-    kinds = ("bigint", "double", "boolean")
     fits = df.agg(*(F.coalesce(F.every(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast(k).isNotNull()), F.lit(False)).alias(f"{i}_{k}") for i, c in enumerate(df.columns) for k in kinds)).first()
     kind = lambda i: next((k for k in kinds if fits[f"{i}_{k}"]), "string")
     return df.select(*(F.col(f"`{c}`").cast(kind(i)).alias(c) for i, c in enumerate(df.columns)))
