@@ -48,6 +48,11 @@ BOILERPLATE = re.compile(
     r"header|related|recommend\w*|more-stories|trending|popular|share|sharing|social|follow|tags|tag-list|toolbar|search|skip-link|skip|disclaimer|copyright|legal|paywall|outbrain|taboola|feedback)($|[\s_-])"
 )
 ARTICLE = re.compile(r"(?i)(^|[\s_-])(article|articlebody|article-body|post-content|entry-content|post-body|story-body|content-body|main-content|main)($|[\s_-])")
+#: Names that mean the same wherever they stand; others may also be an article's own words, as in `share-price` or `legal`.
+SURELY = re.compile(
+    r"(?i)(^|\s)((ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|comments?|commentlist|disqus|nav\w*|menus?|breadcrumbs?|pagination|pager|sidebar|widget|aside|"
+    r"complementary|contentinfo|footer|masthead|related|share|sharing|social|outbrain|taboola)|(ads?|advert\w*|sponsor\w*|promo|cookies?|newsletter|comments?|sidebar|nav|menu|breadcrumbs?|footer|related|social|outbrain|taboola)[_-]\S+)($|\s)"
+)
 #: Parts of a name that say how the page is laid out, not what the element is.
 LAYOUT = re.compile(r"(?i)(^|\s)(?:\S*[_-])?(has|no|with|without)-\S+|(^|\s)(article|entry|post|story|content)[_-]header(?=$|\s)|(^|\s)\S+[_-](wrap|wrapper|container|layout|inner|outer|row|grid|page)(?=$|\s)")
 TOKEN = re.compile(
@@ -59,8 +64,9 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 #: Elements that hold running text, so that none of them is an article of its own.
 LEAVES = HEADINGS | frozenset("p pre li dt dd caption figcaption legend summary address tr td th option".split())
-#: Elements further down than this belong to the last one above it, as in browsers.
-DEEPEST = 512
+
+#: Where no element says that it is the article, the one that holds this share of the content is.
+MAJORITY = 0.5
 
 
 @dataclass(slots=True)
@@ -71,6 +77,7 @@ class Node:
     out: bool = False  # inside something that is never part of an article
     marked: bool = False  # says that it holds the article
     named: bool = False  # its class, id or role says that it is no part of an article, which what it holds may belie
+    surely: bool = False  # and in words that mean nothing else
 
 
 @dataclass(slots=True)
@@ -106,6 +113,7 @@ class _Reader:
 
     def __init__(self) -> None:
         self.page = Page([Node("", -1, 0)])
+        #: The open elements, and where the ones of each tag stand among them.
         self.stack, self.open, self.paths = [0], {}, {}
         self.parts, self.linked, self.in_link = [], 0, False
         #: The inline element that is hidden or named, how deep it nests, whether it is hidden; letters in and out of such.
@@ -139,18 +147,14 @@ class _Reader:
 
     def pop_to(self, names: tuple[str, ...], stops: tuple[str, ...] = ()) -> None:
         """Ends the innermost open element of these names, unless one of the stops is met before."""
-        if not any(self.open.get(x) for x in names):
+        last = lambda tags: max((self.open[x][-1] for x in tags if self.open.get(x)), default=0)
+        k = last(names)
+        if k <= last(stops):
             return
-        for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.page.nodes[self.stack[k]].tag
-            if tag in names:
-                self.close_block()
-                for gone in self.stack[k:]:
-                    self.open[self.page.nodes[gone].tag] -= 1
-                del self.stack[k:]
-                return
-            if tag in stops:
-                return
+        self.close_block()
+        for gone in self.stack[k:]:
+            self.open[self.page.nodes[gone].tag].pop()
+        del self.stack[k:]
 
     def end(self, tag: str) -> None:
         if tag == self.inline:
@@ -182,8 +186,6 @@ class _Reader:
         if tag in ENDS_BEFORE:
             self.pop_to(ENDS_BEFORE[tag], STOPS[tag])
         self.close_block()
-        if len(self.stack) >= DEEPEST:
-            return
         above = self.top
         attributes = _attributes(raw) if raw else {}
         names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}"
@@ -193,9 +195,9 @@ class _Reader:
         # A comment often is an article in an article.
         out = above.out or tag in NEVER or _is_hidden(attributes) or plain and tag == "header" or tag == "article" and bool(self.open.get("article"))
         path = self.paths.setdefault((above.path, tag), len(self.paths) + 1)
-        self.page.nodes.append(Node(tag, self.stack[-1], path, out, article and not out, named and not out))
+        self.page.nodes.append(Node(tag, self.stack[-1], path, out, article and not out, named and not out, named and bool(SURELY.search(LAYOUT.sub(" ", names)))))
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(len(self.page.nodes) - 1)
-        self.open[tag] = self.open.get(tag, 0) + 1
 
     def begin_inline(self, tag: str, raw: str) -> None:
         if raw.rstrip().endswith("/"):
@@ -269,7 +271,8 @@ def content_paths(page: Page, spread: float = 0.5) -> set[int]:
     """The paths whose fused ratio reaches the threshold: a share of the ratios' spread."""
     fused = ratios(page)
     values = np.array(list(fused.values()))
-    return {p for p, v in fused.items() if v >= min(spread * values.std(), values.max())} if fused else set()
+    limit = min(spread * values.std(), values.max()) if fused else 0.0
+    return {p for p, v in fused.items() if v >= limit}
 
 
 def _below(page: Page, weights: Iterable[tuple[int, int]]) -> list[int]:
@@ -285,7 +288,7 @@ def _below(page: Page, weights: Iterable[tuple[int, int]]) -> list[int]:
 def _leave_out_named(page: Page, weight: list[int], most: float = 0.5, some: float = 0.25) -> None:
     """Leaves out the elements whose names say so, by what content they hold. If no article stands outside of them, none
     goes that holds the longest article, if that has some of the content; if there is no such article either, none that
-    holds most of the content."""
+    holds most of the content. Within an article a name that may be a word of its own removes only what holds no content."""
     nodes = page.nodes
     below = [False] * len(nodes)
     for k in range(1, len(nodes)):
@@ -299,9 +302,12 @@ def _leave_out_named(page: Page, weight: list[int], most: float = 0.5, some: flo
     while at:
         holds.add(at)
         at = nodes[at].parent
+    within = [False] * len(nodes)
     for k in range(1, len(nodes)):
         x = nodes[k]
-        x.out = x.out or nodes[x.parent].out or x.named and k not in holds and not (whole and weight[k] > most * weight[0])
+        within[k] = within[x.parent] or nodes[x.parent].marked
+        own = within[k] and not x.surely and weight[k] > 0
+        x.out = x.out or nodes[x.parent].out or x.named and not own and k not in holds and not (whole and weight[k] > most * weight[0])
         x.marked = x.marked and not x.out
 
 
@@ -320,18 +326,22 @@ def select(page: Page, spread: float = 0.5, cover: float = 0.7) -> list[Block]:
     found = [b for b in page.blocks if not nodes[b.node].out]
     content = [b for b in found if nodes[b.node].path in paths] or found
     weight = _below(page, ((b.node, b.chars) for b in content))
+    if not any(x.marked for x in nodes):
+        cover = min(cover, MAJORITY)
     root = max((k for k, x in enumerate(nodes) if x.tag not in LEAVES and weight[k] >= cover * weight[0]), default=0)
     roots = {root}
-    main = {nodes[b.node].path for b in content if _lies_in(page, b.node, roots)}
+    inside = _inside(page, roots)
+    main = {nodes[b.node].path for b in content if inside[b.node]}
     #: Of each element outside that directly holds blocks on those paths: how many, and their characters.
     further: dict[int, list[int]] = {}
     for b in content:
-        if nodes[b.node].path in main and not _lies_in(page, b.node, roots):
+        if nodes[b.node].path in main and not inside[b.node]:
             up = nodes[b.node].parent if nodes[b.node].tag in LEAVES else b.node
             further.setdefault(up, []).append(b.chars)
-    typical = weight[root] / max(1, sum(_lies_in(page, b.node, roots) for b in content))
+    typical = weight[root] / max(1, sum(inside[b.node] for b in content))
     roots |= {k for k, chars in further.items() if k and sum(chars) / len(chars) >= spread * typical}
-    kept = [b for b in found if _lies_in(page, b.node, roots)]
+    inside = _inside(page, roots)
+    kept = [b for b in found if inside[b.node]]
     ids = {id(b) for b in content}
     at = [k for k, b in enumerate(kept) if id(b) in ids]
     first = min((k for k, b in enumerate(kept) if id(b) in ids or nodes[b.node].tag in HEADINGS), default=0)
@@ -347,12 +357,12 @@ def select(page: Page, spread: float = 0.5, cover: float = 0.7) -> list[Block]:
     return [b for k, b in enumerate(kept) if not is_menu(k, b)]
 
 
-def _lies_in(page: Page, k: int, roots: set[int]) -> bool:
-    while k >= 0:
-        if k in roots:
-            return True
-        k = page.nodes[k].parent
-    return False
+def _inside(page: Page, roots: set[int]) -> list[bool]:
+    """Whether each element is one of the roots or lies in one."""
+    held = [False] * len(page.nodes)
+    for k, x in enumerate(page.nodes):
+        held[k] = k in roots or x.parent >= 0 and held[x.parent]
+    return held
 
 
 def main_text(source: str | None, spread: float = 0.5, cover: float = 0.7) -> str:
