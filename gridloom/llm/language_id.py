@@ -37,8 +37,8 @@ UNKNOWN = "und"
 BLOCK = 1 << 18
 #: Codewords whose costs differ by no more tie.
 TIE = 1e-6
-#: More languages than this aren't told apart by one model.
-MOST_LANGUAGES = 500
+#: Of as many languages as get so many rows of the sample each, those with the most rows are learned.
+LEAST_ROWS = 20
 
 
 def ngram_counts(text: str, buckets: int) -> np.ndarray:
@@ -130,16 +130,17 @@ def _most_loss(names: list[str], x: np.ndarray, y: np.ndarray, rounds: int, shar
     return float(np.quantile(loss, 1 - share, method="higher"))
 
 
-def fit(docs: DataFrame, lang: Column, teaches: Column, per_language: int = 500, buckets: int = 4096, rounds: int = 300, id_col: str = "doc_id", text_col: str = "text", lose: float | None = None) -> CodeModel:
-    """The model of the rows where `teaches` holds and `lang` isn't null, about per_language of each language.
+def fit(docs: DataFrame, lang: Column, teaches: Column, per_language: int = 500, buckets: int = 4096, rounds: int = 300, id_col: str = "doc_id", text_col: str = "text", lose: float | None = None, most_rows: int = 10_000) -> CodeModel:
+    """The model of the rows where `teaches` holds and `lang` isn't null, about per_language of each language, and most_rows in all:
+    with many languages each gets fewer, down to 20, and of more than most_rows / 20 languages the most frequent are learned.
 
     lose: the share of such rows that `keep_certain` may take for no language of the model; None to learn no such bound.
     """
     workers_can_import(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"), lang.alias("lang"), teaches.alias("on")).where("on and lang is not null and key is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, most_rows // LEAST_ROWS))
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
+    per_language = max(1, min(per_language, most_rows // max(1, len(counts))))
     names = sorted(counts)
     if not names:
         return CodeModel([], np.ones((0, 1)), np.zeros((buckets, 1)), np.zeros(1), np.ones(1), buckets)
