@@ -16,7 +16,7 @@ Queries and candidates are both cut into blocks of bounded size, and each pair o
 memory is bounded whatever their number, and all rows of a set of queries are held against all vectors, in blocks.
 
 What happens in each case: null vectors, vectors with null or non-finite components, and rows with a null id take no
-part; candidates of another length than the query's aren't its candidates; a query is no candidate of its own, and
+part, nor do vectors of n components with one whose integer lies beyond sqrt(2^62 / n), as their scores may not fit a long; candidates of another length than the query's aren't its candidates; a query is no candidate of its own, and
 neither is a repeated row with its id; other rows are candidates each for itself, repeated or not; a query row that
 repeats id and vector asks once, and rows of one id with different vectors share that query's ranks; fewer than k candidates: all of them; ties go to the smaller id; an empty table gives an empty result; further
 columns are ignored, whatever their names.
@@ -34,6 +34,8 @@ from gridloom.llm.common import cut, workers_can_import
 
 #: Products below this are exact as doubles.
 EXACT = float(1 << 53)
+#: Scores up to this fit a long.
+LARGEST = float(1 << 62)
 #: Queries and candidates that are held against each other at a time.
 TILE = (256, 4096)
 #: Share of a tile's pairs that must be left for a segment to be computed for the whole tile.
@@ -46,13 +48,10 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), real.alias("v")).where("id is not null and v is not null")
     rows = rows.where(F.forall("v", fine) & (F.size("v") > 0))
+    rows = rows.where(F.forall("v", lambda x: F.abs(x * scale) < F.sqrt(LARGEST / F.size("v"))))
     return rows.select("id", F.size("v").alias("n"), F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def _matrix(v: pd.Series) -> np.ndarray:
-    return np.stack(v.to_numpy()).astype(np.int64)
-
-
 def _lengths(v: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     """The length of each vector's segments, rounded up."""
     return np.stack([np.sqrt((v[:, s].astype(float) ** 2).sum(1)) for s in cuts], axis=1) * (1 + 1e-9) + 1e-6
