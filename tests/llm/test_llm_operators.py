@@ -489,6 +489,47 @@ def test_html_takes_time_in_proportion(piece):
     assert time.process_time() - began < 3
 
 
+@pytest.mark.parametrize("name", ["subscribe-rates", "share-price", "popular", "legal", "tags follow"])
+def test_html_words_of_the_article_stay(name):
+    for tag in ("p", "div", "section"):
+        kept = f"<{tag} class='{name}'>{'' if tag == 'p' else '<p>'}{LONG}</{tag}>"
+        assert html_extraction.main_text(f"<body><article>{PARAGRAPHS}{kept}</article></body>") == f"{PLAIN}\n\n{LONG.strip()}"
+    for gone in ("ad", "ad-slot", "comments", "newsletter", "related-posts"):
+        assert html_extraction.main_text(f"<body><article>{PARAGRAPHS}<div class='{gone}'><p>{LONG}</p></div></article></body>") == PLAIN
+
+
+@pytest.mark.parametrize("depth", [400, 600, 30_000])
+def test_html_depth_changes_nothing(depth):
+    page = "<div>" * depth + f"<article>{PARAGRAPHS}</article><nav><p>Menu one two, three.</p></nav><footer><p>Made by us, all.</p></footer>" + "</div>" * depth
+    assert html_extraction.main_text(page) == PLAIN
+
+
+def test_html_without_names_on_the_pages_of_the_tables():
+    """Where nothing is named and all is a div, nearly all blocks are found by their paths' ratios."""
+    import pyarrow.parquet as pq
+
+    found = extra = lost = 0
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        bare = re.sub(r"<(/?)(article|main|header|footer|nav|aside|section|figure)\b", r"<\1div", re.sub(r"\s(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page))
+        want, got = (html_extraction.main_text(x).split("\n\n") for x in (page, bare))
+        found, extra, lost = found + len(want), extra + len(set(got) - set(want)), lost + len(set(want) - set(got))
+    assert found > 2000 and extra < 0.01 * found and lost < 0.003 * found
+
+
+def test_language_of_very_many_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, (letters[i % 26] + letters[i // 26 % 26]) * 40, f"l{i % 600:03}") for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.col("lang"), F.lit(True), buckets=256, rounds=20, most_rows=400)
+    assert len(model.languages) == 20 and language_id.predict(docs, model).count() == 1800
+
+
+def test_topk_scores_fit(spark):
+    rows = [(50, [1.0, 2.0]), (1, [1e300, 1.0]), (2, [3.0, 1.0]), (3, [-1e30, 0.0]), (4, [2.0**20, -(2.0**20)])]
+    found = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, k=5).collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(2, 256 * 256 * 5), (4, -(256 * 256 << 20))]
+
+
 def test_html_tables(spark, empty):
     pages = spark.createDataFrame([(1, "u", PAGE, "t", 5)], "page_id long, url string, html string, text string, n_chars int")
     row = html_extraction.extract(pages).first()
