@@ -6,6 +6,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.operators.running import checkpointed
 
@@ -21,17 +22,53 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
 
 
-def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(node, dist): the least number of edges from any of the sources (node); nodes out of reach are left out."""
+def distances(edges: DataFrame, sources: DataFrame, few: int = 10_000) -> DataFrame:
+    """(node, dist): the least number of edges from any of the sources (node); nodes out of reach are left out.
+
+    What lies next to a round's nodes is of that round, the one before or the next, so a round is held against two others only,
+    and none is written twice. Rounds of up to `few` nodes are one job each, by broadcast, and are kept here until they
+    make a table.
+    """
     e = checkpointed(both_ways(edges))
-    seen = checkpointed(sources.select("node").distinct().withColumn("dist", F.lit(0)))
-    edge = seen
-    for k in count(1):
-        after = e.join(edge.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        edge = checkpointed(after.join(seen, "node", "left_anti").withColumn("dist", F.lit(k)))
-        if edge.isEmpty():
-            return seen
-        seen = checkpointed(seen.union(edge))
+    spark, kind = e.sparkSession, sources.schema["node"].dataType
+    schema = T.StructType([T.StructField("node", kind), T.StructField("dist", T.IntegerType())])
+    table = lambda nodes: spark.createDataFrame([(n,) for n in nodes], T.StructType(schema.fields[:1]))
+    seen, held, done = sources.select("node").where("node is not null").distinct(), [], []
+
+    def settled(found: DataFrame) -> set | DataFrame:
+        """The nodes themselves if they are few, else a written table of them."""
+        some = found.limit(few + 1).collect()
+        return {r["node"] for r in some} if len(some) <= few else checkpointed(found)
+
+    last, before = settled(seen), set()
+    for k in count():
+        if isinstance(last, set):
+            held += [(n, k) for n in last]
+            if len(held) > 10 * few or not last:
+                done.append(checkpointed(spark.createDataFrame(held, schema)))
+                held = []
+            if not last:
+                break
+            some = e.join(F.broadcast(table(last).withColumnRenamed("node", "a")), "a").select(F.col("b").alias("node")).distinct()
+        else:
+            done.append(last.withColumn("dist", F.lit(k)))
+            some = e.join(last.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node")).distinct()
+        if isinstance(last, set) and isinstance(before, set):
+            # At most 3 * few nodes: those of two small rounds go here.
+            rows = some.limit(3 * few + 1).collect()
+            if len(rows) <= 3 * few:
+                fresh = {r["node"] for r in rows} - last - before
+                last, before = fresh if len(fresh) <= few else checkpointed(table(fresh)), last
+                continue
+        for known in (last, before):
+            if not isinstance(known, set) or known:
+                some = some.join(F.broadcast(table(known)) if isinstance(known, set) else known, "node", "left_anti")
+        some = checkpointed(some)
+        last, before = settled(some), last
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:

@@ -72,9 +72,9 @@ def largest_triangles(df: DataFrame, x: str, y: str, target: int) -> DataFrame:
     target - 2 runs of equal length the row that makes the largest triangle with the row taken from the run before and the
     mean of the run after; of several the first.
 
-    Which row wins depends on the row taken before, but it always is a corner of its run's convex hull. So each run is
-    first cut down to that, in parts and then as a whole, and only the corners, a few for each of the target runs, are
-    walked along in one task.
+    Which row wins depends on the row taken before, but it always is a corner of its run's convex hull. So runs are first cut
+    down to the corners of their parts of up to HULL_ROWS rows. These are walked along in order by one task, which holds one Arrow
+    batch of them and the best row so far; they are few unless the series bends one way throughout, when all of them pass by.
     """
     if target < 2:
         raise ValueError("at least 2 rows")
@@ -87,19 +87,26 @@ def largest_triangles(df: DataFrame, x: str, y: str, target: int) -> DataFrame:
     placed = running.checkpointed(placed.withColumn("run", run))
     schema, by_place = "run int, at long, x double, y double", lambda rows_: _hull(rows_.sort_values("at"))
     parts = placed.select("run", "at", "x", "y", F.floor(F.col("at") / HULL_ROWS).alias("part")).groupBy("run", "part").applyInPandas(lambda r: by_place(r.drop(columns="part")), schema)
-    corners = parts.groupBy("run").applyInPandas(by_place, schema)
     after = placed.groupBy((F.col("run") - 1).alias("run")).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows_ = pd.concat(batches)  # the corners, whose number `target` bounds
-        made, taken = [], None
-        for _, part in rows_.groupby("run", sort=True):
-            at = 0
-            if taken is not None and part["mx"].notna().all():
-                area = (taken[0] - part["mx"]) * (part["y"] - taken[1]) - (taken[0] - part["x"]) * (part["my"] - taken[1])
-                at = int(area.abs().to_numpy().argmax())
-            taken = (float(part["x"].iloc[at]), float(part["y"].iloc[at]))
-            made.append(taken)
-        yield pd.DataFrame(made, columns=["x", "y"], dtype="float64")
-
-    return corners.join(after, "run", "left").repartition(1).sortWithinPartitions("run", "at").mapInPandas(walk, "x double, y double")
+        taken = best = run_ = None  # best: area and place of the best row so far of the run at hand
+        for b in batches:
+            made = []
+            for r, part in b.groupby("run", sort=False):
+                if r != run_:
+                    if best is not None:
+                        taken = best[1]
+                        made.append(taken)
+                    run_, best = r, None
+                if taken is not None and part["mx"].notna().all():
+                    area = ((taken[0] - part["mx"]) * (part["y"] - taken[1]) - (taken[0] - part["x"]) * (part["my"] - taken[1])).abs().to_numpy()
+                else:
+                    area = np.zeros(len(part))
+                at = int(area.argmax())
+                if best is None or area[at] > best[0]:
+                    best = (area[at], (float(part["x"].iloc[at]), float(part["y"].iloc[at])))
+            yield pd.DataFrame(made, columns=["x", "y"], dtype="float64")
+        yield pd.DataFrame([best[1]] if best is not None else [], columns=["x", "y"], dtype="float64")
+
+    return parts.join(after, "run", "left").repartition(1).sortWithinPartitions("run", "at").mapInPandas(walk, "x double, y double")

@@ -286,3 +286,31 @@ def test_late_and_repeated_events_of_a_stream(spark, tmp_path):
     assert {(r["start"].day, r["start"].hour, r["n"], r["total"]) for r in got} == {(1, 0, 3, 4.0), (1, 9, 2, 20.0), (1, 20, 1, 32.0)}
     once = run_stream(streams.without_repeats(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))), spark, "once", tmp_path, "append")
     assert sorted(r["event_id"] for r in once) == [1, 2, 3, 5, 6, 7]
+
+
+@pytest.mark.parametrize("few", [0, 3, 10_000])
+def test_distances_by_brute_force(spark, few):
+    rng = random.Random(8)
+    edges = [(i, rng.randrange(i)) for i in range(1, 40) if i % 13] + [(rng.randrange(40), rng.randrange(40)) for _ in range(8)] + [(100, 101)]
+    want, todo = {0: 0, 39: 0}, [0, 39]
+    while todo:
+        n = todo.pop(0)
+        for a, b in edges:
+            for x, y in ((a, b), (b, a)):
+                if x == n and y not in want:
+                    want[y] = want[n] + 1
+                    todo.append(y)
+    found = graphs.distances(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(0,), (39,), (None,)], "node long"), few)
+    rows_ = found.collect()
+    assert {r["node"]: r["dist"] for r in rows_} == want and len(rows_) == len(want)
+
+
+def test_a_long_chain(spark):
+    found = graphs.distances(spark.range(130).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), spark.range(1).select(F.col("id").alias("node")))
+    assert found.count() == 131 and found.agg(F.max("dist")).first()[0] == 130
+
+
+def test_largest_triangles_of_a_convex_series(spark):
+    df = spark.range(300_000).selectExpr("cast(id as double) x", "cast(id * id as double) y")
+    rows_ = sampling.largest_triangles(df, "x", "y", 50).collect()
+    assert len(rows_) == 50 and [r["x"] for r in rows_] == sorted(r["x"] for r in rows_) and rows_[0]["x"] == 0 and rows_[-1]["x"] == 299_999
