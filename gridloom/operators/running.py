@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; on one machine a temporary one, if that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names; on one machine a temporary one, if that is unset."""
+    """df, written to the checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -156,8 +156,16 @@ def is_peak(c: str, w: WindowSpec) -> Column:
     return F.coalesce((F.col(c) > F.lag(c).over(w)) & (F.col(c) > F.lead(c).over(w)), F.lit(False))
 
 
-def outlier_iqr(df: DataFrame, c: str, k: float, out: str) -> DataFrame:
-    """Whether a value lies over k interquartile ranges beyond the quartiles."""
-    ends = running.quantile_row(df, [c], [0.25, 0.75]).select(F.col(c)[0].alias("__a"), F.col(c)[1].alias("__b"))
+def outlier_iqr(df: DataFrame, c: str, k: float, out: str, between: bool = True) -> DataFrame:
+    """Whether a value lies over k interquartile ranges beyond the quartiles: between values where they fall between two, or else the
+    values at n / 4 and 3 n / 4, rounded down, of the sorted ones (from 0)."""
+    if between:
+        ends = running.quantile_row(df, [c], [0.25, 0.75]).select(F.col(c)[0].alias("__a"), F.col(c)[1].alias("__b"))
+    else:
+        counted = running.totals_before(df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")), c, ["n"])
+        placed = running.checkpointed(counted)
+        n = placed.agg(F.sum("n")).first()[0] or 0
+        at = lambda p: F.max(F.when(F.col("before_n") <= p, F.col(c)))
+        ends = placed.agg(at(n // 4).alias("__a"), at(min(3 * n // 4, max(n - 1, 0))).alias("__b"))
     far = (F.col(c) < F.col("__a") - k * (F.col("__b") - F.col("__a"))) | (F.col(c) > F.col("__b") + k * (F.col("__b") - F.col("__a")))
     return df.join(F.broadcast(ends)).withColumn(out, F.coalesce(far, F.lit(False))).drop("__a", "__b")
