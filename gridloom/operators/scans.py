@@ -12,6 +12,7 @@ whole table is one column.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -42,10 +43,17 @@ class Ranges:
         by = [*self.keys, *self.order]
         dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
         self.rows = checkpointed(dealt.withColumn("__range", F.spark_partition_id()))
-        self.sizes = {r["__range"]: r["n"] for r in self.rows.groupBy("__range").agg(F.count("*").alias("n")).collect()}
-        self.count = max(self.sizes, default=0) + 1
         self.columns = df.columns
 
+    @cached_property
+    def sizes(self) -> dict[int, int]:
+        """The number of rows of each range that has any."""
+        return {r["__range"]: r["n"] for r in self.rows.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+
+    @cached_property
+    def count(self) -> int:
+        return max(self.sizes, default=0) + 1
+
     def _same(self, other: DataFrame) -> tuple[DataFrame, Column]:
         """other with its keys and range renamed, and the condition that they are a row's."""
         names = [*self.keys, "__range"]
@@ -380,7 +388,6 @@ def qcut(df: DataFrame, c: str, q: int, out: str, order: list[str]) -> DataFrame
 
 def hot_keys(df: DataFrame, keys: list[str], share: int = 100) -> DataFrame | None:
     """The keys with over 1/share of all rows, fewer than `share`; None if there aren't any."""
-    counts = checkpointed(df.groupBy(*keys).agg(F.count("*").alias("__n")))
-    limit = (counts.agg(F.sum("__n")).first()[0] or 0) / share
-    hot = counts.where(F.col("__n") > limit).drop("__n")
-    return hot if hot.limit(1).count() else None
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
+    return counts.where(F.col("__n") > total / share).drop("__n") if total and most > total / share else None
