@@ -1,7 +1,7 @@
 """BPE encoding by dynamic programming over prefixes, and decoding.
 
-For every prefix of a word exactly one token can be the last one of the prefix's own encoding. An Aho-Corasick
-automaton over the vocabulary gives all tokens that end at a position; of these the last token of the prefix is the
+For every prefix of a word exactly one token can be the last one of the prefix's own encoding. The suffix automaton of
+the vocabulary gives all tokens that end at a position, along its suffix links; of these the last token of the prefix is the
 one that starts the word or that is compatible with the last token of the prefix before it. Two tokens are compatible
 if merging their joined text would never cross the boundary between them. Following the stored tokens back from the
 end of the word gives its ids, and no merge loop runs on the text.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm.common import blocks, workers_can_import
-from gridloom.llm.lockstep import Automaton, IntTable, by_length
+from gridloom.llm.lockstep import IntTable, SuffixAutomaton, by_length
 
 #: How the tokenizer file of this kind writes the 256 bytes as visible characters.
 VISIBLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -81,7 +81,7 @@ class DynamicBpe:
             self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
         self.ids = ids
         tokens = list(ids.items())
-        self.ends = Automaton([tuple(ord(c) + 1 for c in t) for t, _ in tokens], 513)
+        self.ends = SuffixAutomaton([tuple(ord(c) + 1 for c in t) for t, _ in tokens], 513)
         self.id_of = np.array([i for _, i in tokens], np.int64)  # by the automaton's numbers
         self.spines = cache(self._spines)
         self.reachable = np.array([self.spines(i) is not None for _, i in tokens])
@@ -150,11 +150,11 @@ class DynamicBpe:
         rank, lengths, symbol = by_length(data)
         last = np.full((len(symbol) + 1, len(data)), -1, np.int64)  # by prefix: its last token, and where that begins
         back = np.zeros((len(symbol) + 1, len(data)), np.int32)
-        state = np.zeros(len(data), np.int32)
+        state = length = np.zeros(len(data), np.int32)
         for end in range(1, len(symbol) + 1):
             k = np.searchsorted(-lengths, -end, side="right")  # the words that reach so far
-            state = self.ends.step(state[:k], symbol[end - 1, :k])
-            matches = self.ends.ends(state)
+            state, length = self.ends.step(state[:k], length[:k], symbol[end - 1, :k])
+            matches = self.ends.ends(state, length)
             found = next(matches, None)
             while found is not None:
                 rows, tokens = found
