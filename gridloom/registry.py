@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from gridloom.plans import aggregation, boosting, clusters, columns, extras, files, further, joins, matrices, mixtures, models, more, rows, sampling, statistics, whole, windows  # noqa: E402, F401
+from gridloom.plans import aggregation, boosting, clusters, columns, extras, files, further, joins, kernels, matrices, mixtures, models, more, rows, sampling, statistics, whole, windows  # noqa: E402, F401
