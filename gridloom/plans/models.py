@@ -225,3 +225,16 @@ for kind in ("logistic", "tree", "forest"):
 def _(t):
     df = _labelled(t)
     return learning.predict(df, learning.fit(df, "kmeans", ["l_quantity", "l_discount"], k=3)).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+@query("penalized_slopes", """
+WITH m AS (SELECT covar_pop(l_quantity, l_quantity * (1 - l_discount)) AS c, var_pop(l_quantity) AS v, stddev_samp(l_quantity * (1 - l_discount)) AS s, avg(l_quantity) AS x, avg(l_quantity * (1 - l_discount)) AS y FROM lineitem),
+w AS (SELECT 'lasso' AS kind, sign(c) * greatest(abs(c) - 20, 0) / v AS w, x, y FROM m UNION ALL SELECT 'elastic_net', sign(c) * greatest(abs(c) - 10, 0) / (v + 10 / s), x, y FROM m UNION ALL SELECT 'lasso_all_out', sign(c) * greatest(abs(c) - 1000, 0) / v, x, y FROM m)
+SELECT kind, round(w, 4) + 0.0 AS slope, round(y - w * x, 3) AS intercept FROM w""")
+def _(t):
+    """One feature's slope under a penalty has a closed form: the covariance, moved towards 0 by the penalty on its size."""
+    df, out = t("lineitem").select("l_quantity", (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("y")), []
+    for name, kind, penalty in (("lasso", "lasso", 20.0), ("elastic_net", "elastic_net", 20.0), ("lasso_all_out", "lasso", 1000.0)):
+        model = learning.fit(df, kind, ["l_quantity"], "y", regParam=penalty, tol=1e-10).stages[-1]
+        out.append((name, round(float(model.coefficients[0]), 4), round(model.intercept, 3)))
+    return df.sparkSession.createDataFrame(out, "kind string, slope double, intercept double")
