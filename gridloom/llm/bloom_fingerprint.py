@@ -7,8 +7,11 @@ weighed by their characters. A sketch has cells in three rows; each digest is ad
 the XOR of their checksums. The sketches of two versions are subtracted cell by cell. What both have vanishes. A cell with one digest left
 gives it away; taking it out of its other cells uncovers more ("peeling"), until the differing digests are recovered.
 
-If the first sketch is too small for that, a larger one is made: the digests are dealt to buckets with a sketch each, about
-a bucket for 16 of them; a bucket that still fails gets larger sketches, by other hashes, until one succeeds.
+If the first sketch is too small for that, a larger one is used, of a single row with 16 cells for each digest. Its cells are made for
+all pairs of versions by one grouping, already subtracted, as adding and taking out are the same XOR; those that hold nothing
+don't exist. What lies alone in its cell is given away at once. The few digests of the other cells are dealt to buckets with
+a sketch of three rows each, about a bucket for 16 of them; a bucket that still fails gets larger sketches, by other hashes,
+until one succeeds.
 
 What happens in each case: null text counts as the empty text, which has no paragraph; two texts without a paragraph
 are alike (1), and one with and one without are not (0); equal texts have equal fingerprints and likeness 1; rows with
@@ -34,6 +37,9 @@ FIRST = 3
 RETRIES = (3, 5, 8, 8, 8, 8)
 ROUNDS = 6
 PER_BUCKET = 16
+#: Cells for each digest in the single row of the larger sketch, and how many of them may hold several digests until all digests of
+#: the pair are dealt to buckets instead of those cells' alone: finding out theirs takes the product of both numbers.
+SPARSE, MIXED = 16, 500
 LENGTH_BITS = 8
 #: (code points, pattern of a piece) of a text's first parts, which are cut off where they end.
 HEAD = ((8, r"[^\n]{1,2}"), (24, r"[^\n]{1,4}"), (64, r"[^\n]{6,16}?(?=\s)|[^\n]{1,16}"))
@@ -172,8 +178,8 @@ def _certain(a: Column, b: Column) -> Column:
     return _let(found, lambda r: F.struct(F.when(r["done"], F.lit(True)).otherwise(F.raise_error(F.lit("no sketch gives the differing digests")).cast("boolean")).alias("done"), r["here"].alias("here"), r["there"].alias("there")))
 
 
-def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """(done, here, there) of two sets of digests with their first sketches."""
+def _by_buckets(a: Column, b: Column) -> Column:
+    """(done, here, there) of two sets of digests by the sketches of buckets."""
     groups = F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(a) + F.size(b)) / F.lit(PER_BUCKET)))).cast("long")
     each = lambda n, f: F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f))
 
@@ -187,7 +193,48 @@ def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Col
         side = lambda r, name: F.flatten(F.transform(r, lambda x: x[name]))
         return _let(found, lambda r: F.struct(F.lit(True).alias("done"), side(r, "here").alias("here"), side(r, "there").alias("there")))
 
-    return _let(peel(subtract(sketch_a, sketch_b)), lambda r: F.when(r["done"], r).otherwise(_let(groups, bucketed)))
+    return _let(groups, bucketed)
+
+
+def differences(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """(done, here, there) of two sets of digests with their first sketches."""
+    return _let(peel(subtract(sketch_a, sketch_b)), lambda r: F.when(r["done"], r).otherwise(_by_buckets(a, b)))
+
+
+def _cell_of(digest: Column, cells: Column) -> Column:
+    """The cell of the larger sketch's single row."""
+    return F.pmod(F.xxhash64(digest), cells)
+
+
+def _sparse(rows: DataFrame) -> DataFrame:
+    """Of every `next_row` of rows (next_row, cells, a, e, b): what the single rows of a - e and of a - b give away, as
+    e_here, e_there, b_here and b_there, and their cells with several digests, as e_mixed and b_mixed."""
+    sizes = rows.select("next_row", "cells", F.size("a").alias("na"), F.size("e").alias("ne"), F.posexplode(F.concat("a", "e", "b")).alias("at", "d"))
+    before, edited = F.col("at") < F.col("na"), F.col("at") < F.col("na") + F.col("ne")
+    signs = {"e": F.when(before, 1).when(edited, -1).otherwise(0), "b": F.when(before, 1).when(edited, 0).otherwise(-1)}
+    items = sizes.select("next_row", "d", _cell_of(F.col("d"), F.col("cells")).alias("cell"), F.xxhash64("d").alias("hash"), *(s.alias(f"{k}_sign") for k, s in signs.items()))
+    once = lambda k, x: F.bit_xor(F.when(F.col(f"{k}_sign") == 0, F.lit(0).cast("long")).otherwise(F.col(x)))
+    cells = items.groupBy("next_row", "cell").agg(*(c for k in signs for c in (F.sum(f"{k}_sign").alias(f"{k}_n"), once(k, "d").alias(f"{k}_k"), once(k, "hash").alias(f"{k}_h"))))
+
+    def given(k: str) -> list[Column]:
+        n, x, h = F.col(f"{k}_n"), F.col(f"{k}_k"), F.col(f"{k}_h")
+        alone = h == F.xxhash64(x)
+        mixed = ((n != 0) | (x != 0) | (h != 0)) & ~((F.abs(n) == 1) & alone)
+        found = {"here": (n == 1) & alone, "there": (n == -1) & alone}
+        return [*(F.collect_list(F.when(c, x)).alias(f"{k}_{name}") for name, c in found.items()), F.collect_list(F.when(mixed, F.col("cell"))).alias(f"{k}_mixed")]
+
+    return cells.groupBy("next_row").agg(*(c for k in signs for c in given(k)))
+
+
+def _completed(a: Column, b: Column, first: Column, here: Column, there: Column, mixed: Column, cells: Column) -> Column:
+    """(done, here, there) of two sets of digests by their subtracted first sketches or, if these don't do, by what _sparse found."""
+    found = lambda x, y: F.struct(F.lit(True).alias("done"), x.alias("here"), y.alias("there"))
+    few = F.size(mixed) <= MIXED
+    known = lambda x: F.when(few, x).otherwise(F.array().cast("array<long>"))
+    rest = lambda x: F.when(few, F.filter(x, lambda d: F.array_contains(mixed, _cell_of(d, cells)))).otherwise(x)
+    buckets = _let(F.struct(rest(a).alias("a"), rest(b).alias("b")), lambda x: _by_buckets(x["a"], x["b"]))
+    larger = _let(buckets, lambda r: found(F.concat(known(here), r["here"]), F.concat(known(there), r["there"])))
+    return _let(peel(first), lambda r: F.when(r["done"], r).when(F.size(mixed) == 0, found(here, there)).otherwise(larger))
 
 
 def likeness(a: Column, b: Column, diff: Column) -> Column:
@@ -208,20 +255,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _with_next(keys: DataFrame) -> DataFrame:
-    """keys (doc_id, th, ...) with the next row's next_id and next_th by descending doc_id, the first after the last.
+    """keys (doc_id, th, ...) with a number `row` and the next row's next_id, next_th and next_row by descending doc_id, the first
+    after the last.
 
     Rows are dealt by ranges of doc_id, each range finds the next row inside, and the first rows of the ranges, one a
     range, give the rest.
     """
     order = [F.desc_nulls_last("doc_id"), F.asc("th")]
-    dealt = cut(keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    dealt = cut(keys.repartitionByRange(*order).withColumns({"range": F.spark_partition_id(), "row": F.monotonically_increasing_id()}))
     inside = Window.partitionBy("range").orderBy(*order)
-    own = dealt.withColumn("next", F.lead(F.struct("doc_id", "th")).over(inside)).withColumn("at", F.row_number().over(inside))
-    firsts = own.where("at = 1").select("range", F.struct("doc_id", "th").alias("head"))
+    own = dealt.withColumn("next", F.lead(F.struct("doc_id", "th", "row")).over(inside)).withColumn("at", F.row_number().over(inside))
+    firsts = own.where("at = 1").select("range", F.struct("doc_id", "th", "row").alias("head"))
     by_range = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a range
     after = firsts.select("range", F.coalesce(F.lead("head").over(Window.orderBy("range")), F.first("head").over(by_range)).alias("after"))
     out = own.join(F.broadcast(after), "range").withColumn("next", F.coalesce("next", "after"))
-    return out.withColumns({"next_id": F.col("next.doc_id"), "next_th": F.col("next.th")}).drop("range", "at", "next", "after")
+    return out.withColumns({"next_id": F.col("next.doc_id"), "next_th": F.col("next.th"), "next_row": F.col("next.row")}).drop("range", "at", "next", "after")
 
 
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,21 +286,28 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = cut(_with_next(keys))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     after = base.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("text").alias("next_text"))
-    heads = pairs.join(after, F.col("next_id").eqNullSafe(F.col("d")) & (F.col("next_th") == F.col("t"))).select("doc_id", "th", "n_chars", "copies", "next_id", "next_th", F.substring("next_text", F.lit(1), third).alias("head"))
+    heads = pairs.join(after, F.col("next_id").eqNullSafe(F.col("d")) & (F.col("next_th") == F.col("t"))).select("doc_id", "th", "n_chars", "copies", "row", "next_row", F.substring("next_text", F.lit(1), third).alias("head"))
     own = base.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "text")
     both = heads.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.col("head")))
     digests = cut(both.select(
-        "doc_id", "th", "n_chars", "copies", "next_id", "next_th", F.sha2("edited", 256).alias("edited_sha256"),
+        "doc_id", "n_chars", "copies", "row", "next_row", F.sha2("edited", 256).alias("edited_sha256"),
         paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("e"),
-    ).withColumn("sa", sketch(F.col("a"))))
-    others = digests.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("a").alias("b"), F.col("sa").alias("sb"))
-    rows = digests.join(others, F.col("next_id").eqNullSafe(F.col("d")) & (F.col("next_th") == F.col("t")))
-    rows = rows.withColumn("se", sketch(F.col("e")))
-    rows = rows.withColumns({"de": differences(F.col("a"), F.col("e"), F.col("sa"), F.col("se")), "dn": differences(F.col("a"), F.col("b"), F.col("sa"), F.col("sb"))})
+    ))
+    others = digests.select(F.col("row").alias("other"), F.col("a").alias("b"))
+    rows = digests.drop("row").join(others, F.col("next_row") == F.col("other")).drop("other")
+    rows = rows.withColumn("cells", SPARSE * (F.size("a") + F.greatest(F.size("e"), F.size("b"), F.lit(1))).cast("long"))
+    # Both sides lie by next_row already, so the sketches and this join shuffle nothing further.
+    rows = rows.join(_sparse(rows.select("next_row", "cells", "a", "e", "b")), "next_row", "left")
+    # Both comparisons go by one expression, as these are long.
+    rows = rows.withColumn("s", F.transform(F.array("a", "e", "b"), lambda x: sketch(x)))
+    given = lambda k: (F.coalesce(F.col(f"{k}_{x}"), F.array().cast("array<long>")).alias(x) for x in ("here", "there", "mixed"))
+    others = F.array(*(F.struct(F.col(k).alias("digests"), F.get("s", i).alias("s"), *given(k)) for k, i in (("e", F.lit(1)), ("b", F.lit(2)))))
+    sa, se, de, db = F.get("s", F.lit(0)), F.get("s", F.lit(1)), F.get("d", F.lit(0)), F.get("d", F.lit(1))
+    rows = rows.withColumn("d", F.transform(others, lambda x: _completed(F.col("a"), x["digests"], subtract(sa, x["s"]), x["here"], x["there"], x["mixed"], F.col("cells"))))
     rows = rows.select(
-        "doc_id", "n_chars", "edited_sha256", shown(F.col("sa")).alias("fingerprint"), shown(F.col("se")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e"), F.col("de")).alias("near_edited"), likeness(F.col("a"), F.col("b"), F.col("dn")).alias("near_next"),
-        F.col("de.here").alias("only_before"), F.col("de.there").alias("only_edited"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
+        "doc_id", "n_chars", "edited_sha256", shown(sa).alias("fingerprint"), shown(se).alias("edited_fingerprint"),
+        likeness(F.col("a"), F.col("e"), de).alias("near_edited"), likeness(F.col("a"), F.col("b"), db).alias("near_next"),
+        de["here"].alias("only_before"), de["there"].alias("only_edited"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
     )
     return rows.drop("copy")

@@ -333,6 +333,31 @@ def test_bloom_sketches_grow_until_all_is_given_away(spark):
         assert r["d"]["done"] and sorted(r["d"]["here"]) == sorted(r["a"]) and sorted(r["d"]["there"]) == sorted(r["b"])
 
 
+@pytest.mark.parametrize(("cells", "mixed"), [(16, 500), (1, 500), (1, 3)])
+def test_bloom_larger_sketches_come_of_one_grouping(spark, monkeypatch, cells, mixed):
+    """Pairs that the first sketch can't tell apart are told apart by cells that are grouped, without shuffling the pairs again,
+    whether few, many or too many cells hold several digests."""
+    monkeypatch.setattr(bloom_fingerprint, "SPARSE", cells)
+    monkeypatch.setattr(bloom_fingerprint, "MIXED", mixed)
+    rng = random.Random(8)
+    rows = [(k, " ".join(str(rng.random()) for _ in range(n))) for k, n in enumerate((150, 150, 1, 30, 300))] + [(5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = bloom_fingerprint.compare_versions(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[next_row#\d+L, cell#\d+L\]", plan) and not re.search(r"Exchange hashpartitioning\([^)]*cell#", plan)
+    found = {r["doc_id"]: r for r in found.collect()}
+    texts = {k: t or "" for k, t in rows}
+    edited = {k: t[: len(t) - len(t) // 3] + texts[(k - 1) % len(rows)][: len(t) // 3] for k, t in texts.items()}
+    both = spark.createDataFrame([(k, t, edited[k]) for k, t in texts.items()], "k long, t string, e string")
+    sets = {r["k"]: (set(r["a"]), set(r["e"])) for r in both.select("k", bloom_fingerprint.paragraphs(F.col("t")).alias("a"), bloom_fingerprint.paragraphs(F.col("e")).alias("e")).collect()}
+    size = lambda s: sum(d & 255 for d in s)
+    for k, (a, e) in sets.items():
+        b, r = sets[(k - 1) % len(rows)][0], found[k]
+        assert sorted(r["only_before"]) == sorted(a - e) and sorted(r["only_edited"]) == sorted(e - a)
+        for x, near in ((e, r["near_edited"]), (b, r["near_next"])):
+            assert abs(near - (2 * size(a & x) / (size(a) + size(x)) if a or x else 1)) < 1e-9
+
+
 def test_bloom_pieces_that_come_again_count_again(spark):
     rows = spark.createDataFrame([(1, "same line\n" * 50), (0, "same line\n" * 500), (2, "ab" * 4)], "doc_id long, text string")
     found = rows.select("doc_id", "text", bloom_fingerprint.paragraphs(F.col("text")).alias("p")).withColumn("n", bloom_fingerprint.characters(F.col("p"))).collect()
