@@ -37,7 +37,7 @@ def _(t):
 @query("whole_cumprod", _sql(growth=f"CASE WHEN q IS NOT NULL THEN sum(ln(1 + q / 1000000)) OVER {_ALL} END"))
 def _(t):
     df = _gaps(t).withColumn("q", 1 + F.col("q") / 1000000)
-    return _out(scans.cumulative(df, "product", "q", "growth", [], ORDER).withColumn("growth", F.ln("growth")), "growth")
+    return _out(scans.cumulative(df, "log_product", "q", "growth", [], ORDER), "growth")
 
 
 @query("whole_cummax", _sql(highest=f"CASE WHEN v IS NOT NULL THEN max(v) OVER {_ALL} END"))

@@ -51,6 +51,25 @@ def test_running_values(spark, many_ranges, rows, keys):
     same(scans.drawdown(rows, "v", "o", keys, ["i"]), rows.withColumn("o", windows.drawdown("v", w)), "o")
 
 
+def test_log_of_a_product_beyond_doubles(spark, many_ranges):
+    values = [1e300, None, 1e300, 2.0, 1e-300, 1e-300, 1e-300, 1e-300, 0.5, 0.0, 3.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    found = [r["o"] for r in scans.cumulative(df, "log_product", "v", "o", [], ["i"]).orderBy("i").collect()]
+    big = np.log(1e300)
+    want = [big, None, 2 * big, 2 * big + np.log(2), big + np.log(2), np.log(2), np.log(2) - big, np.log(2) - 2 * big, -2 * big, None, None]
+    assert found == [None if w is None else pytest.approx(w, rel=1e-14) for w in want]
+
+
+def test_growth_of_many_rows(spark, tmp_path):
+    """Enough lines, of large quantities, that their product is beyond doubles: whole_cumprod takes its logarithm."""
+    from gridloom import registry
+
+    lines = spark.range(4000).select(*(F.col("id").alias(c) for c in ("l_orderkey", "l_suppkey")), F.lit(1).alias("l_linenumber"), (F.col("id") * 10).alias("l_partkey"), F.lit(1e6).alias("l_quantity"), *(F.lit(0.0).alias(c) for c in ("l_extendedprice", "l_discount", "l_tax")), F.timestamp_seconds("id").alias("l_shipdate"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = [r["growth"] for r in registry.QUERIES["whole_cumprod"](spark, str(tmp_path)).orderBy("l_orderkey").collect()]
+    assert found == pytest.approx([(i + 1) * np.log(2) for i in range(4000)], abs=1e-6)
+
+
 @pytest.mark.parametrize("keys", PARTITIONS)
 def test_frames(spark, many_ranges, rows, keys):
     w = windows.ordered(keys, ["i"])
