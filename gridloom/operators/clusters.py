@@ -23,6 +23,8 @@ from gridloom.operators.running import checkpointed
 BLOCK = 4096
 #: So many distances are computed without splitting boxes any further.
 ENOUGH = 5_000_000
+#: Columns up to which clusters of a distance are found over a grid, whose cells have up to 5, 21 and 89 neighbours then.
+GRID = 3
 #: Room for rounding in bounds.
 MORE = 1 + 1e-9
 
@@ -223,7 +225,12 @@ def linkage(df: DataFrame, key: str, features: list[str], few: int = 100_000) ->
 
 def agglomerative(df: DataFrame, key: str, features: list[str], clusters: int | None = None, distance: float | None = None) -> DataFrame:
     """(id, cluster) by single linkage, cut to so many clusters, or where joins are longer than a distance; a cluster is named by its
-    smallest row. Of equally long joins those of the larger rows are cut first."""
+    smallest row. Of equally long joins those of the larger rows are cut first.
+
+    What joins of up to a distance connect is what lies within that distance step by step: along few columns, rows are
+    connected over a grid, without the joins."""
+    if distance is not None and 0 < distance < float("inf") and len(features) <= GRID:
+        return dbscan(df, key, features, distance, 1).select("id", "cluster")
     joins = linkage(df, key, features)
     if distance is not None:
         kept = joins.where(F.col("w") <= distance)

@@ -114,3 +114,21 @@ def test_single_linkage_by_distance_and_spark_rounds(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "id long, c0 double")
     assert clusters.dbscan(df, "id", ["c0"], 1.0, 3).count() == 0 and clusters.agglomerative(df, "id", ["c0"], clusters=2).count() == 0
+
+
+@pytest.mark.parametrize("d", [1, 2])
+def test_clusters_of_a_distance_need_no_joins(spark, monkeypatch, d):
+    """Chains, rows in one place, steps of just the distance, and rows without a value; no join of linkage is made."""
+    monkeypatch.setattr(clusters, "linkage", lambda *_: pytest.fail("all joins are made"))
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.zeros((5, d)), np.outer(np.arange(1, 9) * 0.5, np.eye(d)[0]), rng.integers(0, 60, (120, d)) / 2 + 20])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(999, *[None] * d)], "id long, " + ", ".join(f"c{k} double" for k in range(d)))
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.5
+    name = np.arange(len(x))
+    while True:
+        new = np.where(near, name[None], len(x)).min(1)
+        if (new == name).all():
+            break
+        name = new
+    found = {r["id"]: r["cluster"] for r in clusters.agglomerative(df, "id", [f"c{k}" for k in range(d)], distance=0.5).collect()}
+    assert found == dict(enumerate(name.tolist()))
