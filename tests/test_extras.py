@@ -88,6 +88,27 @@ def test_nearest_equals_brute_force(spark):
     assert {r["query"]: r["prediction"] for r in voted.collect()} == {0: 0, 1: 0, 2: 0}
 
 
+@pytest.mark.parametrize("d", [1, 2, 9])
+def test_nearest_looks_into_few_leaves(spark, monkeypatch, d):
+    """Crowded, far and repeated places over many leaves; queries that are no rows; and only a part of all pairs along few columns."""
+    for name, n in (("LEAF", 8), ("BLOCK", 16), ("SHARE", 1)):
+        monkeypatch.setattr(neighbours, name, n)
+    rng = np.random.default_rng(d)
+    x = np.concatenate([np.round(rng.normal(size=(900, d)) * 64) / 64, np.zeros((60, d)), 1e3 + rng.integers(0, 4, (40, d))])
+    schema = "id long, " + ", ".join(f"c{i} double" for i in range(d))
+    table = lambda ids: spark.createDataFrame([(int(i), *map(float, x[i])) for i in ids], schema)
+    rows, asked = table(range(970)), np.concatenate([np.arange(0, 970, 9), np.arange(970, 1000)])
+    met, packed = [], neighbours._packed
+    monkeypatch.setattr(neighbours, "_packed", lambda df, columns, name: (met.append(df.count()) if name == "a" else None, packed(df, columns, name))[1])
+    got = neighbours.nearest(table(asked), rows, "id", [f"c{i}" for i in range(d)], 3).collect()
+    mine = {(r["query"], r["rank"]): (r["neighbour"], r["distance"]) for r in got}
+    off = ((x[asked][:, None] - x[None, :970]) ** 2).sum(2)
+    for q, row in zip(asked, off, strict=True):
+        want = [i for i in np.lexsort((np.arange(970), row)) if i != q][:3]
+        assert [mine[int(q), k + 1][0] for k in range(3)] == want and mine[int(q), 1][1] == pytest.approx(row[want[0]] ** 0.5)
+    assert len(got) == 3 * len(asked) and (d > 8 or len(met) == 2 and met[1] < 12 * met[0])
+
+
 def test_kalman_in_a_stream_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(2)
     made = [(i, "ab"[i % 2], 1_700_000_000 + i, None if i % 17 == 5 else float(rng.normal(10, 2))) for i in range(200)]
