@@ -1,8 +1,9 @@
 """Support vector classifiers with any kernel, by decomposition of the dual.
 
-A round takes the rows that break the optimum's conditions most, at most `working` of them, to the driver, settles their weights among
-themselves, and brings every row's gradient up to date in its own task by the change of those few: no row meets all others,
-and what is broadcast is bounded by `working`. Each round is written, so a lost executor repeats at most one.
+Rows in one place that are of one class are one, whose weight may be as large as theirs together. A round takes the rows that break the
+optimum's conditions most, at most `working` of them, to the driver, settles their weights and those of the rows taken before, up to
+POOL, among themselves, and brings every row's gradient up to date in its own task by the change of those few: no row meets
+all others, and what is broadcast is bounded. Each round is written, so a lost executor repeats at most one.
 
 Keys are unique. Rows with an unknown or infinite key, feature or label take no part; a label above 0 is the positive class.
 """
@@ -22,13 +23,15 @@ from gridloom.operators.running import checkpointed
 
 #: Rows whose gradients a task brings up to date at a time.
 ROWS = 4096
+#: Rows that are settled together at most; if `working` is more, that many.
+POOL = 2048
 
 
 @dataclass
 class SupportVectors:
     kernel: kernels.Kernel
     features: list[str]
-    rows: DataFrame  # (id, x, y, weight) of the support vectors
+    rows: DataFrame  # (id, x, y, weight) of the support vectors; those in one place are one, under the smallest key
     bias: float
     rounds: int
 
@@ -41,9 +44,9 @@ class SupportVectors:
         return found.withColumn("prediction", kernels.positive("decision"))
 
 
-def settle(k: np.ndarray, y: np.ndarray, weights: np.ndarray, gradient: np.ndarray, cost: float, tolerance: float, steps: int = 100_000) -> np.ndarray:
+def settle(k: np.ndarray, y: np.ndarray, weights: np.ndarray, gradient: np.ndarray, cost: float | np.ndarray, tolerance: float, steps: int = 100_000) -> np.ndarray:
     """The weights of a few rows that are best while all others stay, by steps along the pair that breaks the conditions most."""
-    weights, gradient = weights.copy(), gradient.copy()
+    weights, gradient, cost = weights.copy(), gradient.copy(), np.broadcast_to(np.asarray(cost, float), weights.shape)
     for _ in range(steps):
         v = -y * gradient
         up, low = np.where(y > 0, weights < cost, weights > 0), np.where(y > 0, weights > 0, weights < cost)
@@ -52,11 +55,11 @@ def settle(k: np.ndarray, y: np.ndarray, weights: np.ndarray, gradient: np.ndarr
         i, j = np.where(up, v, -np.inf).argmax(), np.where(low, v, np.inf).argmin()
         if v[i] - v[j] <= tolerance:
             break
-        room_i = cost - weights[i] if y[i] > 0 else weights[i]
-        room_j = weights[j] if y[j] > 0 else cost - weights[j]
+        room_i = cost[i] - weights[i] if y[i] > 0 else weights[i]
+        room_j = weights[j] if y[j] > 0 else cost[j] - weights[j]
         step = min((v[i] - v[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), room_i, room_j)
-        weights[i] = (cost if y[i] > 0 else 0.0) if step == room_i else weights[i] + y[i] * step
-        weights[j] = (0.0 if y[j] > 0 else cost) if step == room_j else weights[j] - y[j] * step
+        weights[i] = (cost[i] if y[i] > 0 else 0.0) if step == room_i else weights[i] + y[i] * step
+        weights[j] = (0.0 if y[j] > 0 else cost[j]) if step == room_j else weights[j] - y[j] * step
         gradient += y * (k[:, i] - k[:, j]) * step
     return weights
 
@@ -67,9 +70,11 @@ def fit(df: DataFrame, key: str, features: list[str], label: str, kernel: kernel
     d = len(features)
     rows = kernels.known(df, key, [*features, label])
     y = F.when(F.col("x")[d] > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    state = checkpointed(rows.select("id", F.slice("x", 1, d).alias("x"), y.alias("y"), F.lit(0.0).alias("weight"), F.lit(-1.0).alias("gradient")))
-    v, positive, some, room = -F.col("y") * F.col("gradient"), F.col("y") > 0, F.col("weight") > 0, F.col("weight") < cost
+    spots = kernels.places(rows.select("id", F.slice("x", 1, d).alias("x"), y.alias("y")), "y")
+    state = checkpointed(spots.select("id", "x", "y", (F.lit(float(cost)) * F.col("n")).alias("most"), F.lit(0.0).alias("weight"), F.lit(-1.0).alias("gradient")))
+    v, positive, some, room = -F.col("y") * F.col("gradient"), F.col("y") > 0, F.col("weight") > 0, F.col("weight") < F.col("most")
     up, low = (positive & room) | (~positive & some), (positive & some) | (~positive & room)
+    pool: dict = {}
     for done in range(rounds + 1):
         high = state.where(up).orderBy(v.desc(), "id").limit(working // 2).collect()
         deep = state.where(low).orderBy(v.asc(), "id").limit(working // 2).collect()
@@ -84,11 +89,17 @@ def fit(df: DataFrame, key: str, features: list[str], label: str, kernel: kernel
             break
         if done == rounds:
             raise ArithmeticError(f"the conditions are broken by {ends[0] - ends[1]} after {rounds} rounds")
-        chosen = list({r["id"]: r for r in high + deep}.values())
-        x, sign, old, gradient = (np.array([r[c] for r in chosen], float) for c in ("x", "y", "weight", "gradient"))
-        new = settle(kernel(x, x), sign, old, gradient, cost, tolerance / 2)
+        pool |= {r["id"]: (r["x"], r["y"], r["most"], r["weight"], r["gradient"]) for r in high + deep}
+        x, sign, most, old, gradient = (np.array([r[c] for r in pool.values()], float) for c in range(5))
+        new = settle(kernel(x, x), sign, old, gradient, most, tolerance / 2)
         moved = new != old
-        now = {r["id"]: w for r, w, m in zip(chosen, new.tolist(), moved, strict=True) if m}
+        now = {i: w for i, w, m in zip(pool, new.tolist(), moved, strict=True) if m}
+        gradient = gradient + sign * (kernel(x, x[moved]) @ (sign * (new - old))[moved])
+        # What is kept beyond this round: rows with a weight that may go either way, then those nearest to having one.
+        slack = np.where((new > 0) & (new < most), 0, np.abs(gradient))
+        kept = np.argsort(slack, kind="stable")[: max(0, max(POOL, working) - working)]
+        ids = list(pool)
+        pool = {ids[k]: (x[k], sign[k], most[k], new[k], gradient[k]) for k in kept}
 
         def follow(batches: Iterator[pd.DataFrame], x=x[moved], change=(sign * (new - old))[moved], now=now) -> Iterator[pd.DataFrame]:
             for b in batches:

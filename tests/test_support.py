@@ -70,6 +70,26 @@ def test_equal_rows_of_both_classes(spark):
     assert abs(model.predict(df, "id").first()["decision"]) < 1e-2
 
 
+def test_repeated_rows_weigh_as_often_as_they_are(spark, monkeypatch):
+    """Each place once up to four times: as the whole dual with all rows, and no more rows are held than there are places."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(70, 2)).repeat(rng.integers(1, 5, 70), axis=0)
+    y = np.where((x**2).sum(1) + np.sin(9 * x[:, 0]) < 1.3, 1.0, -1.0)
+    df = spark.createDataFrame([(i, float(a), float(b), int(c > 0)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, label int")
+    held, written = [], support.checkpointed
+    monkeypatch.setattr(support, "checkpointed", lambda d: (held.append(d.count()), written(d))[1])
+    kernel = Kernel("rbf", 0.7)
+    model = support.fit(df, "id", ["a", "b"], "label", kernel, cost=2.0, tolerance=1e-6, working=20)
+    assert max(held) == 70
+    k = kernel(x, x)
+    want = dual(k, y, 2.0)
+    found = {r["id"]: r["decision"] for r in model.predict(df, "id").collect()}
+    free = (want > 1e-3) & (want < 2 - 1e-3)
+    decision = k @ (want * y)
+    assert np.allclose([found[i] for i in range(len(x))], decision + (y - decision)[free].mean(), atol=2e-3)
+    assert model.rows.selectExpr("sum(weight)").first()[0] == pytest.approx(want.sum(), rel=1e-3)
+
+
 def test_query_tells_the_parts_apart(spark, sf_dir):
     from gridloom.registry import QUERIES
 
